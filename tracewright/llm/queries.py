@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .quality_rules import OP2_SQL, op2_quality_rules
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}
