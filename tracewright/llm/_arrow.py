@@ -13,26 +13,28 @@ from pyspark.sql.pandas.types import to_arrow_type
 Columns = Callable[[pa.Array], list]
 
 
-def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Columns]) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Columns], drop_text: bool = False) -> DataFrame:
     """``df`` with ``fields`` computed from ``text_col``.
 
     ``make`` runs once in each task and returns the function for a batch, so that models are
-    loaded once.  A column of ``df`` that has the name of a new field is replaced.
+    loaded once.  A column of ``df`` that has the name of a new field is replaced.  With
+    ``drop_text`` the text itself goes no further than the task that reads it.
     """
     new = {f.name.lower() for f in fields}
     if text_col.lower() in new:
         raise ValueError(f"a new column would replace the text column {text_col}")
     base = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in new])
-    schema = T.StructType([*base.schema.fields, *fields])
+    at = base.columns.index(text_col)
+    kept = [i for i in range(len(base.columns)) if not (drop_text and i == at)]
+    schema = T.StructType([*(base.schema.fields[i] for i in kept), *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = schema.names
-    at = base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for b in batches:
             work = work or make()
             made = [pa.array(x, k) if not isinstance(x, pa.Array) else x.cast(k) for x, k in zip(work(b.column(at)), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *made], names=names)
 
     return base.mapInArrow(run, schema)

@@ -152,14 +152,14 @@ def measure(part: Slice, p: Rules) -> list[np.ndarray]:
     return [n_words, word_chars, n_symbols, _sums(v["again"], v["bounds"]), n_repeat, base, kept, _sums(v["worded"], v["bounds"]), _sums(v["bad"], v["bounds"]), removed]
 
 
-def judge(documents: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+def judge(documents: DataFrame, rules: Rules = Rules(), text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """Append ``FIELDS``: the base measures, the verdict ``kept`` and what the lines lost."""
 
     def batch(texts: pa.Array) -> list:
         parts = [measure(s, rules) for s in text_slices(texts)]
         return [np.concatenate([x[i] for x in parts]) if parts else [] for i in range(len(FIELDS))]
 
-    return append_columns(documents, text_col, FIELDS, lambda: batch)
+    return append_columns(documents, text_col, FIELDS, lambda: batch, drop_text)
 
 
 def clean(documents: DataFrame, rules: Rules = Rules(), text_col: str = "text", out_col: str = "clean_text") -> DataFrame:
@@ -179,7 +179,7 @@ def clean(documents: DataFrame, rules: Rules = Rules(), text_col: str = "text",
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), drop_text=True)
 
 
 OP2_SQL = rf"""

@@ -132,7 +132,7 @@ def fit(documents: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> Weigh
     return Weights(float(got["weight"].iloc[0]), got["slot"].to_numpy(np.int64)[1:], got["weight"].to_numpy(float)[1:])
 
 
-def score(documents: DataFrame, weights: Weights, params: Ftrl = Ftrl(), text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, weights: Weights, params: Ftrl = Ftrl(), text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """Append ``score`` (0 to 1) and ``predicted``; no shuffle, every other column is kept."""
     p = params
     sent = documents.sparkSession.sparkContext.broadcast(weights)
@@ -154,7 +154,7 @@ def score(documents: DataFrame, weights: Weights, params: Ftrl = Ftrl(), text_co
 
         return batch
 
-    return append_columns(documents, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make)
+    return append_columns(documents, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, drop_text)
 
 
 def held_out(mod: int = 5, rest: int = 0):
@@ -170,5 +170,5 @@ def trained(spark: SparkSession, documents: DataFrame, sf_dir: str, params: Ftrl
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = score(docs, trained(spark, docs, sf_dir))
+    scored = score(docs, trained(spark, docs, sf_dir), drop_text=True)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
