@@ -16,8 +16,8 @@ if the sets' Jaccard similarity is 0.75 or more, and a component is what links c
    standard deviations below the threshold; the rest are confirmed on the full sets.
 5. A bucket whose members are now in one component is done.  In the others, a member can have a
    link into another component only if enough of its shingles occur in another component; that
-   count is a shingle aggregation, and it rules out almost all members exactly.  What remains is
-   compared pair by pair across components.
+   count is a shingle aggregation, and it rules out almost all members exactly.  The remaining
+   rows outside a family's main component are compared with the family's rows in blocks.
 
 Nothing is capped and no bucket is dropped.  Buckets are aggregated and joined, never gathered.
 
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,15 @@ EMPTY = 0xFFFF
 
 @dataclass(frozen=True)
 class NearParams:
-    """``small`` is the most rows whose ids are broadcast; beyond it the join is shuffled."""
+    """``small`` is the most rows whose ids are broadcast; beyond it the join is shuffled;
+    ``block`` is about how many shingles one side of a block of the last step holds."""
 
     words: int = 5
     percent: int = 75
     band_rows: int = 5
     sigmas: float = 6.0
     small: int = 1_000_000
+    block: int = 100_000
 
 
 SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("regs", T.BinaryType())]
@@ -197,6 +200,43 @@ def _confirm(p: NearParams):
     return run
 
 
+def _block_links(percent: int, width: int = 4096):
+    """Of two blocks of sets, links between rows of different components: for each row of the
+    first one link into each component of the second that it is linked with."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if x.empty or y.empty:
+            return none
+        sides = []
+        for f in (x, y):
+            g = [np.frombuffer(v, np.uint64) for v in f["grams"]]
+            n = np.array([len(v) for v in g])
+            sides.append((np.concatenate(g), np.repeat(np.arange(len(g)), n), n))
+        (gx, rx, nx), (gy, ry, ny) = sides
+        vocabulary = np.intersect1d(gx, gy)
+        both = np.zeros((len(nx), len(ny)), np.float32)
+        cx, cy = np.searchsorted(vocabulary, gx), np.searchsorted(vocabulary, gy)
+        inx, iny = vocabulary.take(cx, mode="clip") == gx, vocabulary.take(cy, mode="clip") == gy
+        rx, cx, ry, cy = rx[inx], cx[inx], ry[iny], cy[iny]
+        ox, oy = np.argsort(cx, kind="stable"), np.argsort(cy, kind="stable")
+        rx, cx, ry, cy = rx[ox], cx[ox], ry[oy], cy[oy]
+        for lo in range(0, len(vocabulary), width):
+            m = []
+            for r, c, rows in ((rx, cx, len(nx)), (ry, cy, len(ny))):
+                s, e = np.searchsorted(c, [lo, lo + width])
+                dense = np.zeros((rows, width), np.float32)
+                dense[r[s:e], c[s:e] - lo] = 1
+                m.append(dense)
+            both += m[0] @ m[1].T
+        linked = 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+        i, j = np.nonzero(linked & (x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]))
+        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "i": i, "c": y["comp"].to_numpy()[j]}).drop_duplicates(["i", "c"])[["a", "b"]] if len(i) else none
+
+    return run
+
+
 class _Search:
     """The tables of one run."""
 
@@ -232,7 +272,7 @@ class _Search:
         return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
     def across(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of one bucket but of different components that may yet be linked."""
+        """Links between members of one bucket that are in different components."""
         mine = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(self.sketch.select("id", "n_shingles").distinct(), "id")
         spread = lambda df: df.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least")).where("lo != hi").select("bucket", "least")
         open_ = self.work.table(mine.where("n > 2").join(spread(mine.where("n > 2")), "bucket"), "open")
@@ -260,10 +300,40 @@ class _Search:
         able = people.join(support, "id").where(F.col("s") * 100 >= pc * (F.col("n_shingles") + partner - F.col("s"))).select("id")
         live = self.work.table(open_.drop("least").join(able, "id", "left_semi"), "live")
         self.work.drop(grams)
-        main = live.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "id")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", "main")
-        minor = live.join(main, "bucket").where("comp != main").select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"))
-        met = minor.join(live, "bucket").where("cx != comp").where(F.col("nx") * 100 >= F.col("n_shingles") * pc).where(F.col("n_shingles") * 100 >= F.col("nx") * pc)
-        return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        return self.between(live, t)
+
+    def between(self, live: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between components: ``(a, b)``, at least one for each two that have any.
+
+        Members that share a bucket, directly or through others, are a family.  In each family
+        the rows outside its main component are laid against all rows, in blocks of bounded size
+        that are dealt evenly; a block counts common shingles as a matrix product and gives links
+        only, so that no list of pairs comes into being however large a family is.
+        """
+        hub = live.groupBy("bucket").agg(F.min("id").alias("hub"))
+        family = components(self.work, live.join(hub, "bucket").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        rows = live.select("id", "comp", "n_shingles").distinct().join(family.select("id", F.col("comp").alias("family")), "id")
+        rows = self.work.table(rows, "rows")
+        weight = rows.groupBy("family", "comp").agg(F.sum("n_shingles").alias("w"))
+        size = weight.groupBy("family").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.sum("w").alias("all"), (F.sum("w") - F.max("w")).alias("rest"), F.count("*").alias("k")).where("k > 1")
+        blocks = lambda w: F.ceil(F.col(w) / self.p.block).cast("int")
+        dealt = rows.join(size, "family").withColumns({"ni": blocks("rest"), "nj": blocks("all")})
+        words = self.p.words
+
+        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in text_slices(b.column("text")):
+                    g, at = shingle_sets(s, words)
+                    part = b.slice(s.first, len(s)).select(["family", "id", "comp", "main", "ni", "nj"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[at[i] : at[i + 1]].tobytes() for i in range(len(s))], pa.binary())], names=[*part.schema.names, "grams"])
+
+        sets = self.work.table(dealt.join(texts, "id").mapInArrow(to_sets, "family long, id long, comp long, main long, ni int, nj int, grams binary"), "sets")
+        of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        query = sets.where("comp != main").select("family", of("ni").alias("i"), upto("nj").alias("j"), "id", "comp", "grams")
+        data = sets.select("family", upto("ni").alias("i"), of("nj").alias("j"), "id", "comp", "grams")
+        keys = ["family", "i", "j"]
+        return query.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_block_links(self.p.percent), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -284,9 +354,9 @@ def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) ->
     first = work.table(search.stars(shared), "pairs")
     links = search.confirmed(first)
     comp = work.table(components(work, links), "comp")
-    more = work.table(search.across(shared, comp).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = work.table(search.across(shared, comp), "across")
     if not more.isEmpty():
-        comp = work.table(components(work, links.unionByName(search.confirmed(more))), "comp")
+        comp = work.table(components(work, links.unionByName(more)), "comp")
     named = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id")))
     return named.select("doc_id", "n_shingles", group.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

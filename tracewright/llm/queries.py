@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .minhash import op4_minhash_dedup
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
