@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP7_SQL, op7_decontamination
 from .minhash import op4_minhash_dedup
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .toxicity import op10_toxicity
@@ -9,9 +10,11 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op7_decontamination": op7_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op7_decontamination": OP7_SQL,
 }
