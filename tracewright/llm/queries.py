@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe
 from .decontaminate import OP7_SQL, op7_decontamination
 from .minhash import op4_minhash_dedup
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_decontamination": op7_decontamination,
