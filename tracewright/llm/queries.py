@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .decontaminate import OP7_SQL, op7_decontamination
+from .language_id import op6_language_id
 from .minhash import op4_minhash_dedup
+from .quality_model import op8_quality_model
 from .quality_rules import OP2_SQL, op2_quality_rules
+from .token_counts import op9_token_counts
 from .toxicity import op10_toxicity
 
 QUERIES = {
@@ -13,6 +16,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_decontamination": op7_decontamination,
+    "op6_language_id": op6_language_id,
+    "op8_quality_model": op8_quality_model,
+    "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
