@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP7_SQL, op7_decontamination
+from .html_text import op5_html_extraction
 from .language_id import op6_language_id
 from .minhash import op4_minhash_dedup
 from .quality_model import op8_quality_model
@@ -14,8 +16,10 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat_format": op3_chat_format,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op7_decontamination": op7_decontamination,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op8_quality_model": op8_quality_model,
     "op9_token_counts": op9_token_counts,
@@ -24,5 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op3_chat_format": OP3_SQL,
     "op7_decontamination": OP7_SQL,
 }
