@@ -21,9 +21,9 @@ def components(work: Work, edges: DataFrame, a: str = "a", b: str = "b") -> Data
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: a larger neighbour points at the least one
-        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours point at the least of them
-        down = large.where(u != v)
+        down = large.where(u != v)  # repeats do no harm before the distinct() below
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         new = work.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -14,8 +14,8 @@ if the sets' Jaccard similarity is 0.75 or more, and a component is what links c
    others (in a family of copies with edits that is the original), not with every other one.
    Estimated Jaccard, corrected for chance collisions of registers, drops pairs that are six
    standard deviations below the threshold; the rest are confirmed on the full sets.
-5. A bucket whose members are now in one component is done.  In the others, a member can have a
-   link into another component only if enough of its shingles occur in another component; that
+5. A bucket whose members are now in one component is done.  In small ones the few leftover
+   pairs are confirmed as before.  In the others, a member can have a link into another component only if enough of its shingles occur in another component; that
    count is a shingle aggregation, and it rules out almost all members exactly.  The remaining
    rows outside a family's main component are compared with the family's rows in blocks.
 
@@ -53,7 +53,7 @@ EMPTY = 0xFFFF
 @dataclass(frozen=True)
 class NearParams:
     """``small`` is the most rows whose ids are broadcast; beyond it the join is shuffled;
-    ``block`` is about how many shingles one side of a block of the last step holds."""
+    in buckets of up to ``small_bucket`` members all leftover pairs are listed; ``block`` is about how many shingles one side of a block of the last step holds."""
 
     words: int = 5
     percent: int = 75
@@ -61,6 +61,7 @@ class NearParams:
     sigmas: float = 6.0
     small: int = 1_000_000
     block: int = 100_000
+    small_bucket: int = 16
 
 
 SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("regs", T.BinaryType())]
@@ -263,21 +264,38 @@ class _Search:
         both = likely.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return self.work.table(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.p), "a long, b long").distinct(), "links")
 
-    def stars(self, shared: DataFrame) -> DataFrame:
-        """In each bucket every member with the one that shares most buckets: ``(a, b)``."""
-        popular = shared.groupBy("id").agg(F.sum("n").alias("pop"))
-        ranked = shared.join(popular, "id")
-        leaders = self.work.table(ranked.groupBy("bucket").agg(F.max_by("id", F.struct("pop", "id")).alias("leader")), "leaders")
-        met = shared.join(leaders, "bucket").where("id != leader")
+    def ranked(self, shared: DataFrame) -> DataFrame:
+        """``(bucket, id, n, n_shingles, pop)``: ``pop`` sums the sizes of the member's buckets."""
+        popular = shared.groupBy("id").agg(F.sum("n").alias("pop")).join(self.sketch.select("id", "n_shingles").distinct(), "id")
+        return self.work.table(shared.join(popular, "id"), "ranked")
+
+    def stars(self, ranked: DataFrame) -> DataFrame:
+        """In each bucket every member with the one that shares most buckets, unless their sizes
+        rule a link out: ``(a, b)``."""
+        pc = self.p.percent
+        best = F.max_by(F.struct(F.col("id").alias("leader"), F.col("n_shingles").alias("nl")), F.struct("pop", "id"))
+        leaders = self.work.table(ranked.groupBy("bucket").agg(best.alias("l")).select("bucket", "l.*"), "leaders")
+        size = F.col("n_shingles")
+        met = ranked.join(leaders, "bucket").where((F.col("id") != F.col("leader")) & (size * 100 >= F.col("nl") * pc) & (F.col("nl") * 100 >= size * pc))
         return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
-    def across(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
-        """Links between members of one bucket that are in different components."""
-        mine = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(self.sketch.select("id", "n_shingles").distinct(), "id")
-        spread = lambda df: df.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least")).where("lo != hi").select("bucket", "least")
-        open_ = self.work.table(mine.where("n > 2").join(spread(mine.where("n > 2")), "bucket"), "open")
-        if open_.isEmpty():
-            return open_.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    def open_buckets(self, ranked: DataFrame, comp: DataFrame) -> DataFrame:
+        """The rows of buckets that still hold several components, less those of two members."""
+        mine = ranked.where("n > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        spread = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least")).where("lo != hi")
+        return self.work.table(mine.join(spread.select("bucket", "least"), "bucket"), "open")
+
+    def leftover_pairs(self, open_: DataFrame, met: DataFrame) -> DataFrame:
+        """The pairs of small buckets that have not met: at most ``small_bucket`` for each row."""
+        pc = self.p.percent
+        x = open_.where(F.col("n") <= self.p.small_bucket)
+        y = x.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
+        pairs = x.join(y, "bucket").where("id < b AND comp != cb").where(F.col("n_shingles") * 100 >= F.col("nb") * pc).where(F.col("nb") * 100 >= F.col("n_shingles") * pc)
+        return self.work.table(pairs.select(F.col("id").alias("a"), "b").distinct().join(met, ["a", "b"], "left_anti"), "pairs")
+
+    def across(self, open_: DataFrame) -> DataFrame:
+        """Links between members of one larger bucket that are in different components."""
+        open_ = open_.where(F.col("n") > self.p.small_bucket)
         # how many shingles of a member occur in some other component
         people = open_.groupBy("id", "comp", "n_shingles").agg(F.min("least").alias("least"))
         t = self.texts(people.select("id"))
@@ -291,7 +309,7 @@ class _Search:
                     own = s.first + np.repeat(np.arange(len(s)), np.diff(at))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(ids[own]), pa.array(comps[own])], names=["g", "id", "comp"])
 
-        grams = self.work.table(people.select("id", "comp").join(t, "id").mapInArrow(explode, "g long, id long, comp long"), "grams")
+        grams = people.select("id", "comp").join(t, "id").mapInArrow(explode, "g long, id long, comp long")
         common = grams.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
         support = grams.join(common, "g").groupBy("id").agg(F.count("*").alias("s"))
         pc = self.p.percent
@@ -299,7 +317,6 @@ class _Search:
         partner = F.greatest("least", F.ceil(F.col("n_shingles") * pc / 100), "s")
         able = people.join(support, "id").where(F.col("s") * 100 >= pc * (F.col("n_shingles") + partner - F.col("s"))).select("id")
         live = self.work.table(open_.drop("least").join(able, "id", "left_semi"), "live")
-        self.work.drop(grams)
         return self.between(live, t)
 
     def between(self, live: DataFrame, texts: DataFrame) -> DataFrame:
@@ -347,17 +364,23 @@ def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) ->
     classes = work.table(copies, "classes")
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "regs")
     sketch = work.table(reps, "reps")
+    slim = work.table(rows.select("doc_id", "n_shingles", "d1", "d2"), "slim")
+    work.drop(rows)
     banded = bands(sketch, p)
     many = work.table(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "many")
     shared = work.table(banded.join(many, "bucket").distinct(), "shared")
     search = _Search(work, documents, sketch, p)
-    first = work.table(search.stars(shared), "pairs")
+    ranked = search.ranked(shared)
+    work.drop(shared)
+    first = work.table(search.stars(ranked), "pairs")
     links = search.confirmed(first)
     comp = work.table(components(work, links), "comp")
-    more = work.table(search.across(shared, comp), "across")
-    if not more.isEmpty():
-        comp = work.table(components(work, links.unionByName(more)), "comp")
-    named = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    still = search.open_buckets(ranked, comp)
+    if not still.isEmpty():
+        more = search.confirmed(search.leftover_pairs(still, first)).unionByName(work.table(search.across(still), "across"))
+        if not more.isEmpty():  # the components so far are stars already
+            comp = work.table(components(work, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)), "comp")
+    named = slim.join(classes, ["d1", "d2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id")))
     return named.select("doc_id", "n_shingles", group.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
