@@ -331,7 +331,7 @@ class _Search:
         family = components(self.work, live.join(hub, "bucket").select(F.col("id").alias("a"), F.col("hub").alias("b")))
         rows = live.select("id", "comp", "n_shingles").distinct().join(family.select("id", F.col("comp").alias("family")), "id")
         rows = self.work.table(rows, "rows")
-        weight = rows.groupBy("family", "comp").agg(F.sum("n_shingles").alias("w"))
+        weight = rows.groupBy("family", "comp").agg(F.sum(F.col("n_shingles") + 64).alias("w"))  # rows cost, too
         size = weight.groupBy("family").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.sum("w").alias("all"), (F.sum("w") - F.max("w")).alias("rest"), F.count("*").alias("k")).where("k > 1")
         blocks = lambda w: F.ceil(F.col(w) / self.p.block).cast("int")
         dealt = rows.join(size, "family").withColumns({"ni": blocks("rest"), "nj": blocks("all")})

@@ -17,7 +17,7 @@ of its words, fails whatever its lines are.
 
 Defined results: a null or empty text has no words, so it fails; repeated rows are judged alike;
 an input column that is named like a result is replaced.  One pass, no shuffle; a task holds the
-hashes of one megabyte of text, or of one document if that is longer.
+hashes of a quarter of a megabyte of text, or of one document if that is longer.
 """
 
 from __future__ import annotations
