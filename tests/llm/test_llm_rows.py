@@ -133,6 +133,27 @@ def test_kneser_ney_by_hand():
     assert language_id.char_logs(m, np.frombuffer("ab".encode("utf-32-le"), np.uint32), at)[0, 0] == pytest.approx(want, abs=1e-5)
 
 
+def test_language_id_beyond_what_tasks_hold(spark):
+    rng = random.Random(7)
+    hot = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows = [(i, "hot", " ".join(rng.choices(hot, k=40))) for i in range(60)]
+    rare = ["où été là", "naïve château", "où naïve"]
+    rows += [(100 + i, "rare", t) for i, t in enumerate(rare)] + [(200 + i, "de", " ".join(rng.choices(WORDS["de"], k=9))) for i in range(20)]
+    train = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    texts = [*rare, hot[0], "der hund unknown", "漢字 où", "😀", None, "", hot[0], " ".join(t for _, _, t in rows[:30])]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, score string").repartition(3)
+    whole = language_id.fit(train)
+    small = language_id.fit(train, language_id.LanguageParams(max_grams=60))
+    assert whole.tables is None and small.tables is not None and len(small.grams[-1][0]) == 20
+    assert small.languages == whole.languages == ("de", "hot", "rare")
+    assert small.curve == pytest.approx(whole.curve, abs=1e-4)
+    assert small.tables.grams[-1].count() == len(whole.grams[-1][0])
+    want, got = ({r.doc_id: r for r in language_id.predict(df, m).collect()} for m in (whole, small))
+    assert [want[i].lang_pred for i in range(4)] == ["rare", "rare", "rare", "hot"]
+    assert {i: r.lang_pred for i, r in got.items()} == {i: r.lang_pred for i, r in want.items()}
+    assert all(got[i].score == pytest.approx(want[i].score, abs=1e-4) for i in want)
+
+
 def labelled(spark):
     rng = random.Random(8)
     good, bad = [f"word{i}" for i in range(60)], [f"#JUNK{i}$$" for i in range(60)]
