@@ -154,6 +154,19 @@ def test_language_id_beyond_what_tasks_hold(spark):
     assert all(got[i].score == pytest.approx(want[i].score, abs=1e-4) for i in want)
 
 
+def test_language_id_rejects_below_a_score(spark):
+    rng = random.Random(6)
+    rows = [(i, lang, " ".join(rng.choices(WORDS[lang], k=12))) for i, lang in enumerate(list(WORDS) * 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    df = spark.createDataFrame([(1, " ".join(WORDS["de"] * 3)), (2, "t"), (3, None)], "doc_id long, text string")
+    plain = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    assert plain[2].score < plain[1].score and plain[2].lang_pred != "und"
+    limit = (plain[1].score + plain[2].score) / 2
+    got = {r.doc_id: r for r in language_id.predict(df, model, reject_below=limit).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["de", "und", "und"]
+    assert {i: r.score for i, r in got.items()} == {i: r.score for i, r in plain.items()}
+
+
 def labelled(spark):
     rng = random.Random(8)
     good, bad = [f"word{i}" for i in range(60)], [f"#JUNK{i}$$" for i in range(60)]

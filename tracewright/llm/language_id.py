@@ -13,8 +13,8 @@ distinct n-grams with the tables, so that results are the same at every size.
 
 A text's language is the one with the least cross-entropy for each character.  ``score`` is the
 probability that it is right, from a logistic curve over the lead in total log-likelihood and
-the lead for each character, fitted on at most ``max_calibration`` training texts; a caller may
-reject below a score of its choice.
+the lead for each character, fitted on at most ``max_calibration`` training texts; ``predict`` gives
+``und`` below a score of the caller's choice (none by default).
 
 Defined results: ``und`` with score 0 for null, for texts without a letter, and for all texts if
 nothing was learned; ties go to the first language in order; repeated rows are alike; rows with a
@@ -461,8 +461,9 @@ def _with_logs(documents: DataFrame, m: LanguageModel, text_col: str, drop_text:
     return append_columns(documents, text_col, [T.StructField("_lid", kind)], make, drop_text)
 
 
-def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """Append ``lang_pred`` and ``score``."""
+def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text", drop_text: bool = False, reject_below: float = 0.0) -> DataFrame:
+    """Append ``lang_pred`` and ``score``; texts that score below ``reject_below`` are ``und`` and keep
+    their score."""
     names, curve = np.array([*model.languages, "und"], object), np.array(model.curve)
 
     def make() -> Columns:
@@ -473,7 +474,7 @@ def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text",
             best, x = _leads(logs, np.array(found.field("chars")))
             score = 1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ curve)))
             und = ~np.array(found.field("letters")).astype(bool)
-            return [names[np.where(und, len(names) - 1, best)].tolist(), np.where(und, 0.0, score)]
+            return [names[np.where(und | (score < reject_below), len(names) - 1, best)].tolist(), np.where(und, 0.0, score)]
 
         return batch
 
