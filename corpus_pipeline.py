@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules reject go; the others keep their whole text."""
     plain = docs.select(*[F.col(c).alias(f"_{c}") for c in docs.columns])
-    judged = quality_rules.judge(plain, text_col="_text").where("kept")
+    judged = quality_rules.judge(plain, quality_rules.PROSE, text_col="_text").where("kept")
     return judged.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 

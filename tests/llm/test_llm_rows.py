@@ -84,6 +84,19 @@ def test_quality_rules_by_hand(spark):
     assert [r.clean_text for r in cleaned] == ["A good line ends here.", None]
 
 
+def test_one_phrase_does_not_fail_a_long_line(spark):
+    import corpus_pipeline
+
+    prose = " ".join(f"word{i}" for i in range(80))
+    footer = "Terms of use apply here, privacy policy, cookie policy, click here, sign in, all rights reserved."
+    texts = [f"{prose} please read more about it.", f"{prose} the design in use.", f"{prose}\n{footer}\nRead more about us!\nAssign in order.", " ".join([footer, footer.upper()] * 6) + ".", f"{prose} sign", f" in {prose}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, df, "").collect())
+    assert kept == [0, 1, 2, 4, 5]
+    got = [r.clean_text for r in quality_rules.clean(df, quality_rules.PROSE).orderBy("doc_id").collect()]
+    assert got == [*texts[:2], f"{prose}\nAssign in order.", "", *texts[4:]]
+
+
 def test_token_counts_are_the_tokenizers(spark):
     from tokenizers import Tokenizer, models
 

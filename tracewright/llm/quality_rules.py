@@ -7,7 +7,9 @@ loses more than ``max_removed`` of its word characters is rejected.  A line with
   "!!" comes up more than ``max_shouts`` times a word, or at least ``min_letters`` letters are in
   it and more than ``max_capitals`` of them are ASCII capitals;
 * navigation: it has at most ``nav_words`` words and does not end like a sentence;
-* boilerplate: it holds one of ``BOILERPLATE`` in any ASCII case;
+* boilerplate: it holds one of ``BOILERPLATE`` in any ASCII case; with a ``phrase_share`` above 0,
+  phrases are whole words, and only a line of at most ``phrase_words`` words, or one of whose words
+  they are at least that share, fails for them (``PROSE``; ``OP2_SQL`` has the plain rule);
 * repetition: it equals an earlier line of the same text.
 
 Words are runs of anything but the blanks x20 and x09-x0D.  Beside the verdict stand the base
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ._arrow import append_columns
-from ._text import BLANKS, Slice, gram_hashes, lines, mix, span_hashes, spans, text_slices
+from ._text import BLANKS, Slice, Spans, gram_hashes, lines, mix, span_hashes, spans, text_slices
 
 SYMBOLS = "#*$%&|<>"
 ENDINGS = ".!?:;\"')]"
@@ -51,8 +53,13 @@ class Rules:
     nav_words: int = 3
     min_words: int = 50
     max_removed: float = 0.5
+    phrase_words: int = 10
+    phrase_share: float = 0.0
 
 
+#: For prose whose lines are whole paragraphs: one phrase does not fail a long line.
+PROSE = Rules(phrase_share=0.25)
+
 FIELDS = [
     *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
     T.StructField("base_failed", T.BooleanType()),
@@ -69,6 +76,7 @@ def _table(chars: str) -> np.ndarray:
 
 _SYMBOL, _END = _table(SYMBOLS), _table(ENDINGS)
 _ANY = re.compile(b"|".join(re.escape(p.encode()) for p in BOILERPLATE), re.IGNORECASE)
+_PHRASE = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:" + _ANY.pattern + rb")(?![A-Za-z0-9\x80-\xff])", re.IGNORECASE)
 _SHOUT = re.compile(rb"!!")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +106,15 @@ def _shared(key: np.ndarray) -> np.ndarray:
     return out
 
 
+def _phrase_words(part: Slice, at: Spans) -> np.ndarray:
+    """Words of each line that belong to a boilerplate phrase."""
+    # newlines between texts: no phrase goes over from one to the next
+    raw = b"\n".join(part.data[a:b].tobytes() for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True))
+    found = list(_PHRASE.finditer(raw))
+    line = np.searchsorted(at.start + at.docs(), [m.start() for m in found], "right").astype(np.int64) - 1
+    return np.bincount(line, np.array([m.group().count(b" ") + 1 for m in found], float), len(at.start))
+
+
 def line_verdicts(part: Slice, p: Rules) -> dict[str, np.ndarray]:
     """Line spans of a slice, whether each has a word, and whether it is removed."""
     b, w, at = part.data, spans(part), lines(part)
@@ -119,7 +136,11 @@ def line_verdicts(part: Slice, p: Rules) -> dict[str, np.ndarray]:
     tail = np.zeros(len(n), bool)
     tail[worded] = _END[b[w.end[last[worded] - 1] - 1]]
     bad |= (n <= p.nav_words) & ~tail
-    bad[line_of(_ANY.finditer(raw))] = True
+    if p.phrase_share > 0:
+        phrases = _phrase_words(part, at)
+        bad |= (phrases > 0) & ((n <= p.phrase_words) | (phrases >= p.phrase_share * n))
+    else:
+        bad[line_of(_ANY.finditer(raw))] = True
     key = mix(span_hashes(b, at.start, at.end) + at.docs().astype(np.uint64) * _ODD)
     again = np.zeros(len(n), bool)
     again[worded] = _again(key[worded])
