@@ -168,6 +168,17 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_few_pages_share(spark):
+    menu, quote = "home news sport travel food music about contact imprint", "to be or not to be that is the question"
+    prose = lambda k: " ".join(f"p{k}w{i}" for i in range(30))
+    article = " ".join(f"same{i}" for i in range(60))
+    texts = {k: f"{prose(k)} {quote} {prose(k + 100)}" for k in range(20)}
+    texts |= {20: f"{article} first", 21: f"{article} second", 22: quote}
+    rows = [(k, "http://a.com/x", f"<div>{menu}</div><p>{t}</p>") for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {**texts, 22: ""}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
