@@ -59,6 +59,60 @@ def test_near_duplicates_by_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_short_texts_lose_no_link(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    docs = []
+    while len(docs) < 3000:  # texts of 5 to 12 words, and what one word more or less at an end makes of them
+        w = rng.choices(words, k=rng.randint(5, 12))
+        docs += [" ".join(x) for x in rng.sample([w, w[1:], w[:-1], [*w, "end"], ["start", *w], [*w[:-1], "last"], [*w, "e", "f"]], 4)]
+    p = minhash.NearParams()
+    # by shared shingles, which every linked pair has
+    sets, root, holders = [shingles(t) for t in docs], list(range(len(docs))), {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for own in holders.values():
+        for i in own:
+            for j in own:
+                both = len(sets[i] & sets[j])
+                if i < j and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, p).collect()}
+    assert got == {i: find(i) for i in range(len(docs))}
+
+
+def test_least_hashes_meet():
+    rng = np.random.default_rng(1)
+    p = minhash.NearParams()
+    for _ in range(3000):
+        n = int(rng.integers(1, 33))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[int(rng.integers(0, n // 4 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        a = np.unique(a)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            x, y = (set(np.frombuffer(minhash.least_hashes(s, np.array([0, len(s)]), p)[0], np.uint64).tolist()) for s in (a, b))
+            assert x & y
+
+
+def test_work_tables_are_deleted(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/near-*/*"))
+    minhash.near_duplicates(spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(50)], "doc_id long, text string")).count()
+    assert len(set(glob.glob(f"{folder}/near-*/*")) - before) == 3
+
+
 def test_near_duplicates_odd_rows(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0

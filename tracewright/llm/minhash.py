@@ -8,8 +8,12 @@ if the sets' Jaccard similarity is 0.75 or more, and a component is what links c
    sketch: of the least hash in each of 256 buckets, the count of leading zeros and ten mantissa
    bits, 512 bytes in all whatever the text's length.
 2. Documents of one digest are copies; from here on only the least id of each such class counts.
-3. Five registers each make 51 bands.  A pair at the threshold shares no band with a chance of
-   (1 - 0.75^5)^51 < 1e-6, and a pair above it with less.
+3. Five registers each make 52 bands (the last shares four registers with the one before it, so
+   that all 256 are in a band).  Of large sets a pair at the threshold shares no band with a chance
+   of (1 - 0.75^5)^51, about 1e-6, and a pair above it with less.  Sets of few shingles leave most
+   registers empty, and two sets could differ in just the bands that they fill; so sets of up to
+   ``exact`` shingles, and those that can be linked with one, also have a bucket for each of their
+   least hashes, as many as two linked sets cannot miss each other by.  That makes candidates of small sets complete.
 4. In each band bucket every member is compared with the member that shares most bands with
    others (in a family of copies with edits that is the original), not with every other one.
    Estimated Jaccard, corrected for chance collisions of registers, drops pairs that are six
@@ -21,10 +25,11 @@ if the sets' Jaccard similarity is 0.75 or more, and a component is what links c
 
 Nothing is capped and no bucket is dropped.  Buckets are aggregated and joined, never gathered.
 
-Defined results: null and empty texts (no words) have 0 shingles and are their own component;
-repeated rows come back as often as they came; a document id that comes with several texts counts
-as one document with all of them; a null id keeps a null component; extra columns are ignored.
-Sets are compared by 64-bit shingle hashes.
+Defined results: null and empty texts (no words) have 0 shingles and are their own component; an
+empty table gives none; repeated rows come back as often as they came; a document id that comes
+with several texts counts as one document with all of them; a null id keeps a null component; a
+text of any length is one row of one task; columns other than doc_id and text are ignored,
+whatever their names.  Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -53,7 +58,8 @@ EMPTY = 0xFFFF
 @dataclass(frozen=True)
 class NearParams:
     """``small`` is the most rows whose ids are broadcast; beyond it the join is shuffled;
-    in buckets of up to ``small_bucket`` members all leftover pairs are listed; ``block`` is about how many shingles one side of a block of the last step holds."""
+    in buckets of up to ``small_bucket`` members all leftover pairs are listed; ``block`` is about how many shingles one side of a block of the last step holds;
+    a pair whose smaller set has at most ``exact`` shingles is found for certain."""
 
     words: int = 5
     percent: int = 75
@@ -62,9 +68,10 @@ class NearParams:
     small: int = 1_000_000
     block: int = 100_000
     small_bucket: int = 16
+    exact: int = 32
 
 
-SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("regs", T.BinaryType())]
+SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("least", T.BinaryType())]
 
 
 def shingle_sets(part: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +114,17 @@ def registers(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(least == 1 << 52, EMPTY, ((52 - e) << MANTISSA) | cell).astype(np.uint16).reshape(n, REGISTERS)
 
 
+def least_hashes(g: np.ndarray, bounds: np.ndarray, p: NearParams) -> list[bytes]:
+    """Of each set that can be linked with one of ``exact`` shingles or fewer, the n - ceil(n x
+    percent / 100) + 1 least hashes: two linked sets have one of these in common."""
+    n = np.diff(bounds)
+    many = np.where(n * p.percent <= p.exact * 100, n - -(-n * p.percent // 100) + 1, 0)
+    return [g[a : a + k].tobytes() for a, k in zip(bounds[:-1], np.minimum(many, n), strict=True)]
+
+
 def sketches(documents: DataFrame, p: NearParams) -> DataFrame:
     def batch(texts: pa.Array) -> list:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for s in text_slices(texts):
             g, b = shingle_sets(s, p.words)
             regs = registers(g, b)
@@ -117,7 +132,8 @@ def sketches(documents: DataFrame, p: NearParams) -> DataFrame:
             out[1].append(signed(_span_sums(mix(g ^ _U(0xA5A5A5A5A5A5A5A5)), b)))
             out[2].append(signed(_span_sums(mix(g ^ _U(0x5BD1E9955BD1E995)), b)))
             out[3] += [r.tobytes() for r in regs]
-        return [*(np.concatenate(x) if x else [] for x in out[:3]), out[3]]
+            out[4] += least_hashes(g, b, p)
+        return [*(np.concatenate(x) if x else [] for x in out[:3]), *out[3:]]
 
     return append_columns(documents, "text", SKETCH, lambda: batch, drop_text=True)
 
@@ -127,23 +143,27 @@ def _regs(col: pa.Array) -> np.ndarray:
 
 
 def bands(sketched: DataFrame, p: NearParams) -> DataFrame:
-    """``(bucket, id)``: a row for each band that has a register, 51 at most."""
+    """``(bucket, id)``: a row for each band that has a register, and for each least hash of small sets."""
     r = p.band_rows
-    n_bands = REGISTERS // r
+    starts = np.unique([*range(0, REGISTERS - r + 1, r), REGISTERS - r])
+    n_bands = len(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                x = _regs(b.column("regs"))[:, : n_bands * r].reshape(-1, n_bands, r)
+                x = _regs(b.column("regs"))[:, starts[:, None] + np.arange(r)]
                 key = np.zeros(x.shape[:2], np.uint64) + np.arange(n_bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
                 for i in range(r):
                     key = mix(key + x[:, :, i].astype(np.uint64) + _U(1))
                 full = (x != EMPTY).any(2)
-                ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), full.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[full])), pa.array(ids)], names=["bucket", "id"])
+                least = b.column("least").to_pylist()
+                own = b.column("id").to_numpy(zero_copy_only=False)
+                keys = np.concatenate([key[full], mix(np.frombuffer(b"".join(least), np.uint64) + _U(n_bands))])
+                ids = np.concatenate([np.repeat(own, full.sum(1)), np.repeat(own, [len(x) // 8 for x in least])])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(ids)], names=["bucket", "id"])
 
-    return sketched.select("id", "regs").mapInArrow(run, "bucket long, id long")
+    return sketched.select("id", "regs", "least").mapInArrow(run, "bucket long, id long")
 
 
 def estimated_jaccard(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +282,9 @@ class _Search:
         likely = self.work.table(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(self.p), "a long, b long").distinct(), "likely")
         t = self.texts(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))))
         both = likely.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return self.work.table(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.p), "a long, b long").distinct(), "links")
+        links = self.work.table(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.p), "a long, b long").distinct(), "links")
+        self.work.drop(t)
+        return links
 
     def ranked(self, shared: DataFrame) -> DataFrame:
         """``(bucket, id, n, n_shingles, pop)``: ``pop`` sums the sizes of the member's buckets."""
@@ -362,7 +384,7 @@ def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) ->
     rows = work.table(sketches(documents, p), "sketch")
     copies = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = work.table(copies, "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "regs")
+    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "regs", "least")
     sketch = work.table(reps, "reps")
     slim = work.table(rows.select("doc_id", "n_shingles", "d1", "d2"), "slim")
     work.drop(rows)
@@ -380,6 +402,7 @@ def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) ->
         more = search.confirmed(search.leftover_pairs(still, first)).unionByName(work.table(search.across(still), "across"))
         if not more.isEmpty():  # the components so far are stars already
             comp = work.table(components(work, comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)), "comp")
+    work.keep(slim, classes, comp)
     named = slim.join(classes, ["d1", "d2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id")))
     return named.select("doc_id", "n_shingles", group.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
