@@ -192,6 +192,24 @@ def test_decontamination_has_no_python(spark):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+def test_decontamination_has_no_hot_key(spark):
+    """In the shuffled join every document has entries under keys of its own, and none is null."""
+    docs = spark.createDataFrame([(i, f"w{i} b c d e f g h i j k l") for i in range(200)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"x{i} " * 12) for i in range(5)] + [(9, "b c d")], "item_id long, text string")
+    plan = decontaminate.hits(docs, items, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gram" in plan and "xxhash64(doc_id" in plan
+    assert plan.count("Generate inline") <= 4  # documents once, long items once for the join, short ones in the same pass
+    got = decontaminate.hits(docs, items, 0).collect()
+    assert len(got) == 200 and {(r.n_words, r.n_hit, tuple(r["items"])) for r in got} == {(12, 3, ("9",))}
+
+
+def test_decontamination_of_a_long_text(spark):
+    body = [f"w{i}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(body[:50]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(body[31_000:31_030])), (2, " ".join(body[100:109]))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.hits(df, items).collect()} == {1: 39, 2: 0}
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 2, "user", None),

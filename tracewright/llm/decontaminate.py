@@ -4,17 +4,19 @@ Words are runs of ASCII letters and digits and of characters above x7F, A-Z lowe
 window is 10 consecutive words of a benchmark item.  Of the hashes of all 5-word grams, every
 least one of each 6 in a row is a fingerprint, in documents and items alike; so any 10 words that
 both hold have a fingerprint in common, at the same place in them, whatever stands around.  Each
-fingerprint carries the hashes of the six 10-word windows that hold it.  Fingerprints are joined,
-and a meeting is extended: it hits where the windows at the same place are equal.  Items of fewer
-than 10 words are one window and are met by grams of their own length.
+fingerprint carries the word hashes around it.  Fingerprints are joined, and a meeting is extended:
+it hits where one of the six windows that hold the fingerprint has equal words on both sides.
+Items of fewer than 10 words are one window and are met by grams of their own length.
 
 Each document is read once and no text is shuffled.  The item side is broadcast only if it has
-at most ``small`` fingerprints; otherwise Spark shuffles both sides.  Ten words are compared by
-64-bit hashes of their 64-bit word hashes.
+at most ``small`` fingerprints; otherwise Spark shuffles both sides.  Words are compared by
+64-bit hashes.
 
 Defined results: a null or empty text has no words and no hits; items without words are never met;
-repeated documents come back as often as they came; repeated items count once, as ids are a set;
-several texts of one id are judged one by one.
+empty tables give no rows and no hits; repeated documents come back as often as they came; repeated
+items count once, as ids are a set; several texts of one id are judged one by one; a text of any
+length is one row of one task; columns other than doc_id, item_id and text are ignored by ``hits``,
+whatever their names, and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -49,16 +51,24 @@ def hashed_words(df: DataFrame, *keep: Column) -> DataFrame:
 
 
 def fingerprints(hashed: DataFrame, *keep: str) -> DataFrame:
-    """``fps``, an array of (at, gram, windows): ``windows[s]`` starts ``s`` words before ``at``."""
-    g, w, m = F.col("g"), F.col("win"), F.col("m")
-    staged = hashed.select(*keep, "h", _grams("h", GRAM).alias("g"), _grams("h", WINDOW).alias("win"))
+    """``fps``, an array of (at, gram, around): the word hashes from five words before ``at`` to the
+    end of the last window that starts there, null beyond the text's ends."""
+    g, m = F.col("g"), F.col("m")
+    staged = hashed.select(*keep, "h", _grams("h", GRAM).alias("g"))
     least = lambda i: F.least(*[F.get(g, i + j) for j in range(GRAMS)])
-    staged = staged.select("*", F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1), least)).otherwise(F.array().cast("array<bigint>")).alias("m"))
+    whole = F.size("h") >= WINDOW
+    staged = staged.select("*", F.when(whole, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), least)).otherwise(F.array().cast("array<bigint>")).alias("m"))
     chosen = lambda x, i: F.greatest(*[F.get(m, i - j) for j in range(GRAMS)]) == x
-    around = lambda i: F.array(*[F.get(w, i - j) for j in range(GRAMS)])
     picked = F.filter(F.transform(g, lambda x, i: F.when(chosen(x, i), F.struct(i.alias("at"), x.alias("gram")))), lambda x: x.isNotNull())
-    staged = staged.select(*keep, "h", "win", picked.alias("picked"))
-    return staged.select(*keep, "h", F.transform("picked", lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), around(x["at"]).alias("windows"))).alias("fps"))
+    staged = staged.select(*keep, "h", picked.alias("picked"))
+    around = lambda at: F.transform(F.sequence(at - (GRAMS - 1), at + (WINDOW - 1)), lambda k: F.get("h", k))
+    return staged.select(*keep, "h", F.transform("picked", lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.lit(WINDOW).alias("n"), around(x["at"]).alias("around"))).alias("fps"))
+
+
+def short_grams(n: int) -> Column:
+    """All grams of ``n`` words, for items that have no more; in the form of ``fps``."""
+    none = F.lit(None).cast("array<bigint>")
+    return F.transform(_grams("h", n), lambda x, i: F.struct(i.alias("at"), x.alias("gram"), F.lit(n).alias("n"), none.alias("around")))
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, small: int = SMALL) -> DataFrame:
@@ -69,27 +79,30 @@ def hits(documents: DataFrame, benchmark: DataFrame, small: int = SMALL) -> Data
     # The generators are outer ones: for the others Spark infers a filter on the array and pushes
     # it below the projections, where every array would be made anew for each entry of the next.
     items = hashed_words(benchmark, F.col("item_id").cast("string").alias("item")).where(F.size("h") > 0)
-    lengths = [r[0] for r in items.select(F.least(F.size("h"), F.lit(WINDOW))).distinct().collect()]
-    docs = hashed_words(documents, F.col("doc_id"), F.xxhash64("text").alias("same"))
-    docs = docs.select("*", F.size("h").alias("n_words"))
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("h"), F.lit(WINDOW))).distinct().collect())
+    short = [n for n in lengths if n < WINDOW]
     keys = ["doc_id", "same", "n_words"]
-
-    long_items = items.where(F.size("h") >= WINDOW)
-    prints = fingerprints(long_items, "item").select("item", F.inline_outer("fps").alias("at", "gram", "theirs")).drop("at").where("gram IS NOT NULL").distinct()
-    lone = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("array<bigint>").alias("windows")))
-    rows = fingerprints(docs, *keys).select(*keys, F.inline_outer(F.concat(lone, "fps")).alias("at", "gram", "windows"))
+    docs = hashed_words(documents, F.col("doc_id"), F.xxhash64("text").alias("same")).select("*", F.size("h").alias("n_words"))
+
+    prints = fingerprints(items.where(F.size("h") >= WINDOW), "item").select("item", F.inline_outer("fps").alias("at", "gram", "n", "theirs")).drop("at").where("gram IS NOT NULL")
+    for n in short:
+        whole = F.get(_grams("h", n), F.lit(0))
+        prints = prints.unionByName(items.where(F.size("h") == n).select("item", whole.alias("gram"), F.lit(n).alias("n"), F.lit(None).cast("array<bigint>").alias("theirs")))
+    prints = prints.distinct()
+    # each row also has an entry that meets nothing, under a key of its own
+    lone = F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64("doc_id", "same").alias("gram"), F.lit(-1).alias("n"), F.lit(None).cast("array<bigint>").alias("around")))
+    entries = fingerprints(docs, *keys).select(*keys, F.concat(lone, "fps", *map(short_grams, short)).alias("e"))
+    rows = entries.select(*keys, F.inline_outer("e").alias("at", "gram", "n", "around"))
     prints = F.broadcast(prints) if prints.count() <= small else prints
-    met = rows.join(prints, "gram", "left")
-    equal = [F.when(F.get("windows", F.lit(j)) == F.get("theirs", F.lit(j)), F.col("at") - j) for j in range(GRAMS)]
-    starts = F.filter(F.array(*equal), lambda x: x.isNotNull())
-    met = met.where("at < 0 OR item IS NOT NULL").select(*keys, "at", "item", starts.alias("starts"))
-    met = met.where("at < 0 OR size(starts) > 0").select(*keys, "at", "item", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + WINDOW).alias("e"))).alias("spans"))
-    for n in sorted(x for x in lengths if x < WINDOW):
-        short = items.where(F.size("h") == n).select("item", F.get(_grams("h", n), F.lit(0)).alias("gram")).distinct()
-        short = F.broadcast(short) if short.count() <= small else short
-        grams = docs.select(*keys, F.posexplode_outer(_grams("h", n)).alias("s", "gram"))
-        span = F.array(F.struct(F.col("s"), (F.col("s") + n).alias("e")))
-        met = met.unionByName(grams.join(short, "gram").select(*keys, F.lit(0).alias("at"), "item", span.alias("spans")))
+    met = rows.join(prints, ["gram", "n"], "left").where("at < 0 OR item IS NOT NULL")
+    # a window is hit where its ten words are equal on both sides; it starts j words before the fingerprint
+    first = lambda j: GRAMS - 1 - j
+    window = lambda c, j: F.slice(c, first(j) + 1, WINDOW)
+    inside = lambda j: F.get("around", F.lit(first(j))).isNotNull() & F.get("around", F.lit(first(j) + WINDOW - 1)).isNotNull()
+    equal = [F.when(inside(j) & (window("around", j) == window("theirs", j)), F.col("at") - j) for j in range(GRAMS)]
+    starts = F.when(F.col("n") == WINDOW, F.filter(F.array(*equal), lambda x: x.isNotNull())).when(F.col("n") > 0, F.array("at")).otherwise(F.array().cast("array<int>"))
+    met = met.select(*keys, "at", "n", "item", starts.alias("starts")).where("at < 0 OR size(starts) > 0")
+    met = met.select(*keys, "at", "item", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("n")).alias("e"))).alias("spans"))
 
     grouped = met.groupBy(*keys).agg(
         F.count_if(F.col("at") < 0).cast("int").alias("times"),
