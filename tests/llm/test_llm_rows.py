@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracewright.llm import bpe, language_id, quality_model, quality_rules, token_counts, toxicity
 from tracewright.llm._text import text_slices
 
@@ -221,3 +223,97 @@ def test_slices_hold_whole_texts():
     texts = pa.array(["a" * 10, None, "", "b" * 30, "ccc"])
     parts = list(text_slices(texts, 12))
     assert [s.text(i) for s in parts for i in range(len(s))] == ["a" * 10, "", "", "b" * 30, "ccc"]
+
+
+def ftrl_by_hand(docs, y, p):
+    """Coordinate by coordinate, with plain floats."""
+    import math
+
+    z, n, bias, l1 = {}, {}, 1 << p.bits, p.l1 * math.sqrt(len(docs))
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        rate = (p.beta + math.sqrt(ni)) / p.alpha
+        if i == bias:
+            return -zi / rate
+        return 0.0 if abs(zi) <= l1 else (math.copysign(l1, zi) - zi) / (rate + p.l2)
+
+    for _ in range(p.epochs):
+        for slots, label in zip(docs, y, strict=True):
+            w = {i: weight(i) for i in [*slots, bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            g *= p.positive_weight if label else 1
+            for i, wi in w.items():
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * wi, n.get(i, 0.0) + g * g
+    return weight(bias), {i: weight(i) for i in z if i != bias and weight(i)}
+
+
+def test_toxicity_by_brute_force(spark):
+    docs, labels = labelled(spark)
+    p = toxicity.Ftrl(bits=12, max_train=200)
+    got = toxicity.fit(docs, labels.selectExpr("doc_id", "toxic AS label"), p)
+    ids = [r.doc_id for r in docs.select("doc_id").selectExpr("doc_id", "xxhash64(doc_id) AS o").orderBy("o").limit(200).collect()]
+    text, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    slots = []
+    for i in ids:
+        (part,) = text_slices(pa.array([text[i]]))
+        slots.append(sorted({int(s) for s in toxicity.feature_slots(part, p.bits, p.stems)[1]}))
+    bias, want = ftrl_by_hand(slots, [toxic[i] for i in ids], p)
+    assert got.bias == pytest.approx(bias) and dict(zip(got.slots.tolist(), got.values.tolist(), strict=True)) == pytest.approx(want)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, got, p).collect()}
+    for i, s in zip(ids, slots, strict=True):
+        assert scored[i] == pytest.approx(1 / (1 + np.exp(-bias - sum(want.get(k, 0.0) for k in s))), abs=1e-5)
+
+
+def test_features_are_words_pairs_skips_and_stems():
+    (part,) = text_slices(pa.array(["One two, three-fourth"]))
+    d, s = toxicity.feature_slots(part, 20, (3, 6))
+    assert len(s) == 4 + 3 + 2 + 4 + 1 and not d.any()
+    one = lambda t, k=(): set(toxicity.feature_slots(next(text_slices(pa.array([t]))), 20, k)[1].tolist())
+    assert one("ONE") < one("one two") < set(s.tolist()) and one("fourth", (6,)) & one("fourths", (6,)) and not one("fourth") & one("fourths")
+
+
+def test_quality_by_direct_compression(spark):
+    import zstandard
+
+    docs, labels = labelled(spark)
+    model = quality_model.fit(docs, labels.selectExpr("doc_id", "quality AS label"))
+    rows = docs.withColumn("_o", F.xxhash64("doc_id")).join(labels, "doc_id").orderBy("_o").collect()
+    own = {k: [r.text.encode() for r in rows if r.quality == k][::2] for k in (0, 1)}
+    assert (model.good, model.bad) == tuple(b"".join(t[: max(200, (512 << 10) // len(own[k]))] for t in own[k])[: 512 << 10] for k in (1, 0))
+
+    def size(content, text):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=9)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=d).compress(text))
+
+    for r in quality_model.score(docs, model).orderBy("doc_id").limit(50).collect():
+        t = r.text.encode()
+        x = (size(model.bad, t) - size(model.good, t)) / (len(t) + 1)
+        assert r.score == pytest.approx(np.interp(x, model.x, model.y))
+    assert list(model.y) == sorted(model.y) and 0 < min(model.y) and max(model.y) < 1
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    from tracewright.llm._sample import labelled_sample
+    from tracewright.llm._work import Work
+
+    rows = [(i, "x" * (10_000 if i % 50 == 0 else 100)) for i in range(400)] + [(7, "a"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 3) for i in range(400)] + [(7, None), (7, 0), (None, 1), (999, 1)], "doc_id long, label int")
+    for by_class in (False, True):
+        got = labelled_sample(Work(spark, "t"), docs, labels, 90, 5_000, 5_000, by_class).collect()
+        size = {k: sum(len(r.text) for r in got if r.label == k) for k in (0, 1)}
+        assert all(r.doc_id % 50 for r in got) and len({r.doc_id for r in got}) == len(got)
+        assert all(4_900 <= s <= 5_000 for s in size.values()) if by_class else 4_900 <= sum(size.values()) <= 5_000
+
+
+@pytest.mark.parametrize("module", [quality_model, toxicity])
+def test_models_on_empty_long_and_clashing(spark, module):
+    docs, labels = labelled(spark)
+    model = module.fit(docs, labels.selectExpr("doc_id", "quality AS label"))
+    assert module.score(spark.createDataFrame([], SCHEMA), model).count() == 0
+    long = spark.createDataFrame([(1, "word1 " * 200_000, "x", 1), (2, None, "y", 2)], "doc_id long, text string, score string, predicted int")
+    got = module.score(long, model).collect()
+    assert len(got) == 2 and all(isinstance(r.score, float) for r in got)
