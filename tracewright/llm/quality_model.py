@@ -1,17 +1,20 @@
 """Quality classifier by compression.
 
-One zstandard dictionary is trained on good texts and one on bad texts.  A text is compressed
-whole with either; the difference of the sizes, divided by the text's bytes, says which kind it
-is like, and an isotonic curve fitted on labelled texts that the dictionaries have not seen turns
-the difference into a probability.
+Good and bad labelled texts make one zstandard dictionary each: cuts of many texts, as raw
+content.  A text is compressed whole with either; the difference of the sizes, divided by the
+text's bytes, says which kind it is like, and an isotonic curve fitted on labelled texts that the
+dictionaries have not seen turns the difference into a probability.
 
 The fit takes at most ``per_class`` labelled rows of each class (those of the least hashes) and
-``train_bytes`` of their whole texts, so one task can hold it.  Scoring has no shuffle.
+``train_bytes`` of text of each (see ``_sample``), so one task can hold it.  Scoring has no shuffle.
+Settings were chosen inside the training fold (rows whose crc32 / 5 leaves 0 modulo 4 against the
+others): raw cuts against trained dictionaries, level and size, by the bad texts found.
 
 Defined results: null counts as the empty text; an empty text scores as the curve says for no
-difference; repeated rows score alike; several labels of one id count as the largest; null labels
-are not learned from; if one class has no rows, every score is the share of label 1 (0.5 without
-labels).  A column named like a result is replaced.
+difference; an empty table gives no rows; repeated rows score alike; several labels of one id count
+as the largest; null labels are not learned from; if one class has no rows, every score is the
+share of label 1 (0.5 without labels); a text of any length is compressed whole, by one task;
+columns named ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +29,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import append_columns
+from ._sample import labelled_sample
 from ._text import text_slices
+from ._work import Work
 from .toxicity import held_out
 
 
 @dataclass(frozen=True)
 class CompressionParams:
-    dict_bytes: int = 256 << 10
-    level: int = 3
+    dict_bytes: int = 512 << 10
+    level: int = 9
     per_class: int = 5_000
-    train_bytes: int = 64 << 20
-    knots: int = 100
+    train_bytes: int = 32 << 20
+    bin_rows: int = 5
     threshold: float = 0.3
 
 
@@ -53,17 +57,29 @@ class CompressionModel:
 
 class _Sizes:
     def __init__(self, good: bytes, bad: bytes, level: int) -> None:
-        one = lambda d: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d) if d else None)
+        def one(content: bytes) -> zstandard.ZstdCompressor:
+            if len(content) < 8:  # too little for a dictionary
+                return zstandard.ZstdCompressor(level=level)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=d)
+
         self.good, self.bad = one(good), one(bad)
 
     def difference(self, text: bytes) -> float:
         return (len(self.bad.compress(text)) - len(self.good.compress(text))) / (len(text) + 1)
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndarray]:
+def dictionary(texts: list[bytes], size: int) -> bytes:
+    """The first bytes of each text, as many as make ``size`` in all and 200 at least."""
+    cut = max(200, size // max(1, len(texts)))
+    return b"".join(t[:cut] for t in texts)[:size]
+
+
+def _isotonic(x: np.ndarray, y: np.ndarray, bin_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over equal-count bins: rising values between 0 and 1."""
     order = np.argsort(x, kind="stable")
-    bins = [b for b in np.array_split(order, min(knots, max(1, len(x) // 20))) if len(b)]
+    bins = [b for b in np.array_split(order, max(1, len(x) // bin_rows)) if len(b)]
     blocks: list[list[float]] = []
     for b in bins:
         blocks.append([float(x[b].sum()), float(y[b].sum()), float(len(b))])
@@ -83,18 +99,14 @@ def _train(texts: list[bytes], y: np.ndarray, share: float, p: CompressionParams
         own = own[::2] if len(own) > 1 else own
         if not own:
             return flat
-        size = min(p.dict_bytes, max(1024, sum(map(len, own)) // 4))
-        try:
-            dictionaries.append(zstandard.train_dictionary(size, own).as_bytes())
-        except zstandard.ZstdError:  # too little text for a trained one: the text itself
-            dictionaries.append(b"".join(own)[-p.dict_bytes :])
+        dictionaries.append(dictionary(own, p.dict_bytes))
     sizes = _Sizes(*dictionaries, p.level)
     rest = []
     for label in (1, 0):
         own = [i for i in range(len(texts)) if y[i] == label and texts[i]]
         rest += own[1::2] or own
     x, t = np.array([sizes.difference(texts[i]) for i in rest]), y[rest]
-    kx, ky = _isotonic(x, t, p.knots)
+    kx, ky = _isotonic(x, t, p.bin_rows)
     now = t.mean()
     odds = ky / (1 - ky) * (share / (1 - share)) / (now / (1 - now))
     return CompressionModel(*dictionaries, tuple(kx.tolist()), tuple((odds / (1 + odds)).tolist()))
@@ -106,20 +118,17 @@ def fit(documents: DataFrame, labels: DataFrame, params: CompressionParams = Com
     own = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = own.agg(F.avg("label")).first()[0]
     share = 0.5 if share is None else float(share)
-    rank = F.xxhash64("doc_id")
-    parts = [own.where(F.col("label") == v).orderBy(rank, "doc_id").limit(p.per_class) for v in (0, 1)]
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").dropDuplicates(["doc_id"])
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        texts = [t.encode() for t in pdf["text"]]
-        fits = np.cumsum([len(t) for t in texts]) <= p.train_bytes
-        fits[: min(2, len(fits))] = True
-        m = _train([t for t, ok in zip(texts, fits, strict=True) if ok], pdf["label"].to_numpy()[fits], share, p)
-        return pd.DataFrame({"good": [m.good], "bad": [m.bad], "x": [list(m.x)], "y": [list(m.y)]})
-
-    shaped = rows.select(F.pmod(F.length("text"), F.lit(1)).alias("g"), rank.alias("o"), "label", "text")
-    got = shaped.groupBy("g").applyInPandas(train, "good binary, bad binary, x array<double>, y array<double>").collect()
+    work = Work(documents.sparkSession, "quality")
+    rows = labelled_sample(work, documents, labels, p.per_class, p.train_bytes, by_class=True)
+
+    def train(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("o").to_numpy(), kind="stable")
+        texts = table.column("text").to_pylist()
+        m = _train([texts[i].encode() for i in order], table.column("label").to_numpy()[order], share, p)
+        return pa.table({"good": pa.array([m.good], pa.binary()), "bad": pa.array([m.bad], pa.binary()), "x": [list(m.x)], "y": [list(m.y)]})
+
+    got = rows.select(F.lit(0).alias("g"), "o", "label", "text").groupBy("g").applyInArrow(train, "good binary, bad binary, x array<double>, y array<double>").collect()
+    work.keep()
     if not got or not 0 < share < 1:
         return CompressionModel(b"", b"", (0.0,), (share,))
     return CompressionModel(bytes(got[0].good), bytes(got[0].bad), tuple(got[0].x), tuple(got[0].y))
