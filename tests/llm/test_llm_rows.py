@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,6 @@ def test_language_id(spark):
     rows = [(i, lang, " ".join(rng.choices(WORDS[lang], k=12))) for i, lang in enumerate(list(WORDS) * 40)]
     model = language_id.fit(spark.createDataFrame([*rows, (900, None, "xx"), (901, "en", None)], "doc_id long, lang string, text string"))
     assert model.languages == ("de", "en", "fr")
-    # what follows any context sums to 1 over the known characters and the unknown
     texts = pa.array([" ".join(WORDS["de"]), "the mat", None, "", "12 !?", "😀", "été où"])
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "doc_id long, text string")
     got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
@@ -131,6 +131,74 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(df, empty).collect()} == {"und"}
 
 
+def words_of(text):
+    import re
+
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
+def kneser_ney(texts, order):
+    """p(character | context) straight from the definition, from lists of all n-grams."""
+    grams = [(" " * (order - 1) + w + " ")[i : i + order] for t in texts for w in words_of(t) for i in range(len(w) + 1)]
+    level = {order: Counter(grams)}
+    for n in range(order - 1, 0, -1):
+        level[n] = Counter(g[1:] for g in level[n + 1])
+
+    def p(c, context):
+        n = len(context) + 1
+        counts = level[n]
+        ones, twos = (sum(v == k for v in counts.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+        below = p(c, context[1:]) if context else 1 / (len(level[1]) + 1)
+        after = [v for g, v in counts.items() if g[:-1] == context]
+        return (max(counts[context + c] - d, 0) + d * len(after) * below) / sum(after) if after else below
+
+    return p, [*level[1]]
+
+
+def test_language_model_by_brute_force(spark):
+    rng = random.Random(16)
+    rows = [(i, lang, " ".join(rng.choices(WORDS[lang], k=6))) for i, lang in enumerate(list(WORDS) * 5)]  # too few rows to keep any for the curve
+    train = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    p = language_id.LanguageParams(order=3)
+    for m in (language_id.fit(train, p), None):
+        m = m or language_id.build(language_id.count_grams(train, p).toPandas(), p)
+        for k, lang in enumerate(m.languages):
+            hand, alphabet = kneser_ney([t for _, x, t in rows if x == lang], 3)
+            for context in ["  ", " d", "th", "it", "xx", "e ", "ch"]:
+                points = np.frombuffer("".join(context + c for c in [*alphabet, "漢"]).encode("utf-32-le"), np.uint32)
+                got = np.exp(language_id.char_logs(m, points, np.arange(2, len(points), 3))[:, k])
+                assert got == pytest.approx([hand(c, context) for c in [*alphabet, "漢"]], rel=1e-4)
+                assert got.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_calibration_rows_are_not_counted(spark):
+    rng = random.Random(17)
+    rows = [(i, lang, " ".join(rng.choices(WORDS[lang], k=9)) + f" {lang}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvw'[i // 100]}") for i, lang in enumerate(list(WORDS) * 60)]
+    rows += [(1000 + i, "rare", f"zzz yyy {'abc'[i]}") for i in range(3)]
+    train = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole, own = (sum(r.n for r in language_id.count_grams(train.where(f"lang = '{x}'"), language_id.LanguageParams()).collect()) for x in ("en", "rare"))
+    seen = []
+    build = language_id.build
+    language_id.build = lambda counts, params: seen.append(counts) or build(counts, params)
+    try:
+        model = language_id.fit(train)
+    finally:
+        language_id.build = build
+    n = seen[0].groupby("lang")["n"].sum()
+    assert n["rare"] == own and n["en"] < whole and model.languages == ("de", "en", "fr", "rare")
+
+
+def test_language_odd_rows(spark):
+    rows = [(i, lang, " ".join(WORDS[lang])) for i, lang in enumerate(list(WORDS) * 20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    schema = "doc_id long, text string, lang_pred int, score string, _x int"
+    assert language_id.predict(spark.createDataFrame([], schema), model).count() == 0
+    long = " ".join(WORDS["fr"] * 20_000)
+    got = language_id.predict(spark.createDataFrame([(1, long, 1, "s", 2), (2, "der hund", 1, "s", 2), (2, "der hund", 1, "s", 2)], schema), model).collect()
+    assert sorted(r.lang_pred for r in got) == ["de", "de", "fr"] and len({r.score for r in got if r.doc_id == 2}) == 1 and {r._x for r in got} == {2}
+
+
 def test_kneser_ney_by_hand():
     import pandas as pd
 

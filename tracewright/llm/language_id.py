@@ -13,12 +13,13 @@ distinct n-grams with the tables, so that results are the same at every size.
 
 A text's language is the one with the least cross-entropy for each character.  ``score`` is the
 probability that it is right, from a logistic curve over the lead in total log-likelihood and
-the lead for each character, fitted on at most ``max_calibration`` training texts; ``predict`` gives
-``und`` below a score of the caller's choice (none by default).
+the lead for each character, fitted on at most ``max_calibration`` training texts that the models
+have not counted; ``predict`` gives ``und`` below a score of the caller's choice (none by default).
 
 Defined results: ``und`` with score 0 for null, for texts without a letter, and for all texts if
 nothing was learned; ties go to the first language in order; repeated rows are alike; rows with a
-null lang teach nothing; extra columns are ignored.
+null lang teach nothing; empty tables give no rows; a text of any length is scored whole, by one
+task; columns named ``lang_pred`` or ``score`` are replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -47,11 +48,16 @@ _SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``max_grams``: the rows that the driver and a task hold; more of them are joined, not dropped."""
+    """``max_grams``: the rows that the driver and a task hold; more of them are joined, not dropped.
+
+    One row in ``calibration_part``, ``max_calibration`` at most, is kept out of the counts for the
+    curve, but none of a language with fewer than ``least_rows``."""
 
     order: int = 4
     max_grams: int = 400_000
     max_calibration: int = 4_000
+    calibration_part: int = 8
+    least_rows: int = 16
 
 
 @dataclass(frozen=True)
@@ -420,18 +426,25 @@ def _leads(logs: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(training: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Count over all of ``training(doc_id, lang, text)``, build, and fit the score's curve."""
+    """Count over ``training(doc_id, lang, text)``, build, and fit the score's curve on rows that are not counted."""
     work = Work(training.sparkSession, "language")
-    counts = work.table(count_grams(training, params), "counts")
+    known = training.where("lang IS NOT NULL AND text IS NOT NULL")
+    # ids are chosen first, so that only chosen texts move
+    least = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= params.least_rows).select("lang")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(params.calibration_part)) == 0).join(least, "lang", "left_semi").where("doc_id IS NOT NULL")
+    chosen = work.table(chosen.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_calibration), "chosen")
+    counted = known.join(F.broadcast(chosen), "doc_id", "left_anti")
+    counts = work.table(count_grams(counted, params), "counts")
     m = build(counts.toPandas(), params) if counts.count() <= params.max_grams else build_tables(counts, params, work)
     if len(m.languages) < 2:
         return replace(m, curve=(3.0, 0.0, 0.0))
-    known = training.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    # ids are chosen first, so that only chosen texts move
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_calibration)
-    some = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
+    some = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.lang", "r.text")
 
     got = _with_logs(some, m, "text", True).select("lang", "_lid.logs", "_lid.chars").toPandas()
+    if m.tables is None:
+        work.keep()
+    if got.empty:
+        return replace(m, curve=(1.0, 0.0, 0.0))
     best, x = _leads(np.array(got["logs"].tolist()).reshape(len(got), len(m.languages)), got["chars"].to_numpy())
     x = np.column_stack([x, np.ones(len(x))])
     y = np.clip(np.array(m.languages)[best] == got["lang"].to_numpy(), 0.001, 0.999)
