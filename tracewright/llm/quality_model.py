@@ -20,6 +20,7 @@ columns named ``score`` or ``predicted`` are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,12 @@ class _Sizes:
         return (len(self.bad.compress(text)) - len(self.good.compress(text))) / (len(text) + 1)
 
 
+@lru_cache(maxsize=1)
+def _sizes(good: bytes, bad: bytes, level: int) -> _Sizes:
+    """One for each worker process, not for each task: its tables take tens of megabytes."""
+    return _Sizes(good, bad, level)
+
+
 def dictionary(texts: list[bytes], size: int) -> bytes:
     """The first bytes of each text, as many as make ``size`` in all and 200 at least."""
     cut = max(200, size // max(1, len(texts)))
@@ -140,7 +147,7 @@ def score(documents: DataFrame, model: CompressionModel, params: CompressionPara
 
     def make():
         m = sent.value
-        sizes = _Sizes(m.good, m.bad, params.level)
+        sizes = _sizes(m.good, m.bad, params.level)
 
         def batch(texts: pa.Array) -> list:
             x = np.array([sizes.difference(s.data[s.offsets[i] : s.offsets[i + 1]].tobytes()) for s in text_slices(texts) for i in range(len(s))], float)
