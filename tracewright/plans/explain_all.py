@@ -12,6 +12,7 @@ from ..operators.metrics import run_metrics
 from ..operators.sessions import count_windows, keyed_sessions, with_labels
 from ..operators.splits import stratified_split
 from ..operators.verify import verify
+from ..sources.scratch import Work
 
 
 def load_sessions(lines: DataFrame, dataset: str, labels: DataFrame | None = None, size: int = 10, step: int = 10, seed: object = 42) -> DataFrame:
@@ -31,7 +32,7 @@ def load_sessions(lines: DataFrame, dataset: str, labels: DataFrame | None = Non
 def prepare_prompts(sessions: DataFrame, scores: DataFrame, dataset: str = "", k: int = 5) -> DataFrame:
     """Phase A: flagged sessions with hits, prompt and id mapping."""
     flagged = sessions.join(scores.where("pred = 1").select("session_id", "pred", "prob", "margin", "anomaly_prob"), "session_id")
-    evidence = build_evidence(sessions, dataset).persist()
+    evidence = Work(sessions.sparkSession, "evidence").table(build_evidence(sessions, dataset), "evidence")
     hits = batch_retrieve(flagged, evidence, bm25_index(evidence), k, dataset=dataset)
     lists = hits.groupBy(F.col("query_id").alias("session_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "score", "evidence_id", "text", F.col("label").alias("hit_label")))).alias("hits"))
     none = F.array().cast("array<struct<rank int, score double, evidence_id string, text string, hit_label int>>")

@@ -22,6 +22,7 @@ from .operators import sessions as W
 from .operators import splits as P
 from .operators import verify as V
 from .plans import explain_all as A
+from .sources.scratch import Work
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -329,8 +330,8 @@ _RT = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda t: t <> '')"
 
 
 def bm25_sql(docs: str) -> str:
-    return f"""dt AS (SELECT evidence_id, unnest({_RT.format('text')}) AS term, len({_RT.format('text')}) AS dl FROM {docs}),
-tf AS (SELECT evidence_id, term, dl, count(*) AS tf FROM dt GROUP BY ALL), cn AS (SELECT count(*) AS n, avg(len({_RT.format('text')})) AS avgdl FROM {docs}),
+    return f"""tk AS MATERIALIZED (SELECT evidence_id, {_RT.format('text')} AS t FROM {docs}), dt AS (SELECT evidence_id, unnest(t) AS term, len(t) AS dl FROM tk),
+tf AS MATERIALIZED (SELECT evidence_id, term, dl, count(*) AS tf FROM dt GROUP BY ALL), cn AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), rw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, cn),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw),
 post AS (SELECT evidence_id, term, idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS w FROM tf JOIN idf USING (term), cn)"""
@@ -402,8 +403,9 @@ CHAT = f"win AS (SELECT 'C' || conv_id::VARCHAR AS session_id, (conv_id % 3 = 0)
 
 
 def session_hits(spark, d, k=5):
-    s = chat_sessions(spark, d).persist()
-    ev = E.build_evidence(s, "BGL").persist()
+    work = Work(spark, "chats")
+    s = work.table(chat_sessions(spark, d), "sessions")
+    ev = work.table(E.build_evidence(s, "BGL"), "evidence")
     q = P.in_split(s, "val").select(F.col("session_id").alias("query_id"), E.query_text(F.col("lines"), "BGL").alias("query"), F.array("session_id").alias("exclude"), "label")
     return q, E.retrieve(q, ev, E.bm25_index(ev), k, digits=6)
 
@@ -590,7 +592,7 @@ def session_inspection(spark, d):
 @query("explain_all_run")
 def explain_all_run(spark, d):
     """Both phases over the whole log; the answers are those of ``answers``."""
-    s = split_windows(spark, d).persist()
+    s = Work(spark, "windows").table(split_windows(spark, d), "sessions")
     scores = scored_windows(spark, d)
     test = P.in_split(s, "test").select("session_id")
     scores = scores.join(test, "session_id", "left_semi")
