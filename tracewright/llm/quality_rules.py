@@ -9,7 +9,7 @@ loses more than ``max_removed`` of its word characters is rejected.  A line with
 * navigation: it has at most ``nav_words`` words and does not end like a sentence;
 * boilerplate: it holds one of ``BOILERPLATE`` in any ASCII case; with a ``phrase_share`` above 0,
   phrases are whole words, and only a line of at most ``phrase_words`` words, or one of whose words
-  they are at least that share, fails for them (``PROSE``; ``OP2_SQL`` has the plain rule);
+  they are at least that share, fails for them (``PROSE``, as the query and the pipeline have it);
 * repetition: it equals an earlier line of the same text.
 
 Words are runs of anything but the blanks x20 and x09-x0D.  Beside the verdict stand the base
@@ -17,8 +17,8 @@ measures of the text: words, their code points, symbols, repeated lines and repe
 windows; a text of fewer than ``min_words`` words, or whose repeated windows cover more than half
 of its words, fails whatever its lines are.
 
-Defined results: a null or empty text has no words, so it fails; repeated rows are judged alike;
-an input column that is named like a result is replaced.  One pass, no shuffle; a task holds the
+Defined results: a null or empty text has no words, so it fails; an empty table gives no rows;
+repeated rows are judged alike; an input column that is named like a result is replaced.  One pass, no shuffle; a task holds the
 hashes of a quarter of a megabyte of text, or of one document if that is longer.
 """
 
@@ -200,9 +200,12 @@ def clean(documents: DataFrame, rules: Rules = Rules(), text_col: str = "text",
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), drop_text=True)
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), PROSE, drop_text=True)
 
 
+# RE2 looks neither ahead nor back: with every separator doubled, neighbours do not share one.
+_OTHER = r"[^A-Za-z0-9\x{80}-\x{10FFFF}]"
+_DOUBLED = "|".join(p.replace(" ", "  ") for p in BOILERPLATE)
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -218,12 +221,13 @@ ln AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1,
 m AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
     length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '!!')) AS shouts,
+    coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace(line, '({_OTHER})', '\1\1', 'g'), '(?i)(?:^|{_OTHER})({_DOUBLED})(?:{_OTHER}|$)', 1), lambda x: len(string_split(x, '  ')))), 0) AS phrases,
     len(regexp_extract_all(line, '[A-Z]')) AS capitals, len(regexp_extract_all(line, '[A-Za-z\x{{80}}-\x{{10FFFF}}]')) AS letters,
     row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again
   FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 v AS (SELECT doc_id, chars, again, again OR symbols > 0.1::DOUBLE * chars OR shouts > 0.3::DOUBLE * n OR (letters >= 10 AND capitals > 0.6::DOUBLE * letters)
     OR (n <= 3 AND NOT regexp_matches(line, '[.!?:;"'')\]][\x20\x09-\x0D]*$'))
-    OR regexp_matches(line, '(?i){"|".join(BOILERPLATE)}') AS bad FROM m),
+    OR (phrases > 0 AND (n <= 10 OR phrases >= 0.25::DOUBLE * n)) AS bad FROM m),
 s AS (SELECT doc_id, count(*) AS n_lines, count_if(again) AS n_dup_lines, count_if(bad) AS n_bad_lines,
     coalesce(sum(chars) FILTER (WHERE bad), 0)::BIGINT AS removed_chars FROM v GROUP BY doc_id),
 j AS (SELECT base.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_bad_lines, 0) AS n_bad_lines,
