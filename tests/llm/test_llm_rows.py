@@ -105,11 +105,13 @@ def test_quality_sql_is_the_rule(spark):
     import pandas as pd
 
     rng = random.Random(3)
-    bits = ["word ", "Other, ", "CAPS!! ", "\n", "end.\n", "Privacy Policy\n", "é", "x& ", "sign in", "Sign In ", " ", "click here", "read  more ", "Terms of use,", "-cookie policy-", *(["plain words here "] * 8)]
-    documents = pd.DataFrame({"doc_id": range(400), "text": ["".join(rng.choices(bits, k=rng.randint(1, 250))) for _ in range(399)] + [None]})
+    bits = ["word ", "Other, ", "CAPS!! ", "\n", "end.\n", "Privacy Policy\n", "é", "x& ", "sign in", "Sign In ", " ", "click here", "read  more ", "Terms of use,", "-cookie policy-", *(["plain "] * 12)]
+    word = lambda x: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(5)) + " " if x == "plain " else x
+    documents = pd.DataFrame({"doc_id": range(400), "text": ["".join(map(word, rng.choices(bits, k=rng.randint(1, 120)))) for _ in range(399)] + [None]})
     want = duckdb.sql(f"SELECT * FROM ({quality_rules.OP2_SQL}) ORDER BY doc_id").df()
     got = quality_rules.judge(spark.createDataFrame([tuple(r) for r in documents.itertuples(index=False)], "doc_id long, text string"), quality_rules.PROSE, drop_text=True).orderBy("doc_id").toPandas()
-    assert (got[want.columns].astype(float) == want.astype(float)).all(axis=None) and 50 < want["kept"].sum() < 390 and want["n_bad_lines"].sum() > 500
+    differing = [c for c in want.columns if got[c].astype(float).tolist() != want[c].astype(float).tolist()]
+    assert not differing and 20 < want["kept"].sum() < 390 and want["n_bad_lines"].sum() > 500
 
 
 def test_token_counts_are_the_tokenizers(spark):
