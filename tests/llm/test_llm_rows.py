@@ -51,6 +51,42 @@ def test_chunks_are_reused():
     assert codec.reused > 0.8 * codec.made
 
 
+def test_chunks_are_shared_across_tasks(spark):
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(2)
+    body = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(2000))
+    texts = [f"{i} head {body} tail {i}" for i in range(12)] + [f"only {i} " * 400 for i in range(3)] + [None, "<|endoftext|>" + body]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    p = bpe.BpeParams()
+    book = bpe.shared_chunks(df, p)
+    assert len(book) >= 8 and all(len(c) <= p.book_bytes for c in book)
+    assert all(ids.tolist() == ref.encode(c.decode(), add_special_tokens=False).ids for c, ids in book.items())
+    assert sum(c.decode() in body for c in book) >= 8  # each shared chunk once, whatever task it stands in
+    few = bpe.BpeParams(book_chunks=2)
+    assert len(bpe.shared_chunks(df, few)) == 2
+    for q in (p, few, bpe.BpeParams(book_chunks=0)):
+        got = {r.doc_id: r.ids for r in bpe.encode(df, q).collect()}
+        assert got == {i: ref.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert bpe.shared_chunks(df.limit(0), p) == {} and bpe.digests(df.limit(0), p).count() == 0
+    codec = bpe.Codec(p, book)
+    codec.encode(np.frombuffer(texts[0].encode(), np.uint8))
+    assert codec.made < len(book) + 20 and all(x not in book for x in codec.chunks)
+
+
+def test_reuse_without_blanks():
+    rng = random.Random(3)
+    han = "".join("。，"[rng.randint(0, 1)] if rng.random() < 0.1 else chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000))
+    codec = bpe.Codec(bpe.BpeParams())
+    for head in ("", "另外"):
+        raw = (head + han).encode()
+        assert codec.encode(np.frombuffer(raw, np.uint8)).tolist() == codec.plain(raw).tolist()
+    assert codec.reused > 0.8 * codec.made
+    run = ("x" * 30_000 + chr(0x4E00) * 20_000).encode()  # no safe place in whole chunks: windows grow
+    assert codec.encode(np.frombuffer(run, np.uint8)).tolist() == codec.plain(run).tolist()
+
+
 def rules_by_hand(text, p=quality_rules.Rules()):
     import re
 
