@@ -1,4 +1,4 @@
-"""Evidence corpus and BM25 retrieval (RET1-9, OPT2)."""
+"""Evidence corpus and BM25 retrieval (RET1-9), and fusion of rankings from elsewhere."""
 
 from __future__ import annotations
 
@@ -148,9 +148,9 @@ def unscored(queries: DataFrame, scores: DataFrame, docs: DataFrame, n: int) ->
     return places.join(docs, "pos").select("query_id", "text_id", F.lit(0.0).alias("score"))
 
 
-def batch_retrieve(sessions: DataFrame, evidence: DataFrame, index: dict[str, DataFrame], k: int = 5, exclude_self: bool = True, dataset: str = "") -> DataFrame:
+def batch_retrieve(sessions: DataFrame, evidence: DataFrame, index: dict[str, DataFrame], k: int = 5, exclude_self: bool = True, dataset: str = "", digits: int | None = None) -> DataFrame:
     own = F.array("session_id") if exclude_self else F.lit(None).cast("array<string>")
-    return retrieve(sessions.select(F.col("session_id").alias("query_id"), query_text(F.col("lines"), dataset).alias("query"), own.alias("exclude")), evidence, index, k)
+    return retrieve(sessions.select(F.col("session_id").alias("query_id"), query_text(F.col("lines"), dataset).alias("query"), own.alias("exclude")), evidence, index, k, digits=digits)
 
 
 def retriever(method: str = "bm25"):

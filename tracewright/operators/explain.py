@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 SCHEMA = "prediction string, summary string, claims array<struct<claim string, evidence_ids array<string>, confidence string>>, insufficient_evidence boolean, _bad string"
 
+# USD for a million prompt and completion tokens; the first key that a model's name holds counts.
+PRICES = ((1, "gpt-4o", 2.5, 10.0), (2, "gpt-4o-mini", 0.15, 0.6), (3, "gpt-4-turbo", 10.0, 30.0), (4, "gpt-4", 30.0, 60.0), (5, "gpt-3.5-turbo", 0.5, 1.5))
+
 SYSTEM = "You explain why a log session was flagged as an anomaly. Cite an evidence id for every claim, use nothing but the evidence, say so if it is not enough, and answer with JSON only."
 TEMPLATE = """This session was flagged as anomalous.
 
@@ -89,17 +92,24 @@ def token_total(total: Column, prompt: Column, completion: Column) -> Column:
     return F.coalesce(total, F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0)))
 
 
-def costs(responses: DataFrame, prices: DataFrame) -> DataFrame:
+def costs(responses: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Append ``cost_usd``: the first price, by ``ord``, whose key is in the model's name; else 0.
 
     ``prices(ord, key, input, output)`` is in USD for a million tokens and is small by nature.
     """
+    if prices is None:
+        prices = responses.sparkSession.createDataFrame(list(PRICES), "ord int, key string, input double, output double")
     models = responses.select("model").distinct()
     found = models.join(F.broadcast(prices), F.col("model").contains(F.col("key"))).groupBy("model").agg(F.min_by(F.struct("input", "output"), "ord").alias("_p"))
     usd = F.coalesce(F.col("prompt_tokens"), F.lit(0)) / 1e6 * F.col("_p.input") + F.coalesce(F.col("completion_tokens"), F.lit(0)) / 1e6 * F.col("_p.output")
     return responses.join(F.broadcast(found), "model", "left").withColumn("cost_usd", F.coalesce(usd, F.lit(0.0))).drop("_p").select(*responses.columns, "cost_usd")
 
 
+def failures(responses: DataFrame) -> DataFrame:
+    """``(session_id, error)`` of the calls that gave no answer."""
+    return responses.where("error IS NOT NULL").select("session_id", "error")
+
+
 def results(flagged: DataFrame, answers: DataFrame) -> DataFrame:
     """One nested record for each explained session."""
     return flagged.join(answers, "session_id").select(

@@ -44,6 +44,21 @@ def with_ids(sessions: DataFrame, buckets: int = 50_000, max_len: int | None = N
     return sessions.select("*", ids.alias("input_ids"), segments.alias("segment_ids"))
 
 
+def with_vocabulary_ids(sessions: DataFrame, words: DataFrame, unknown: int = 0) -> DataFrame:
+    """``with_ids`` with the ids of a fitted ``vocabulary``; words that it lacks get ``unknown``.
+
+    Distinct words are joined, not occurrences of them: a session takes its own words' ids back as
+    a map, so that a frequent word is one row for each session.
+    """
+    own = sessions.select("session_id", F.explode(F.array_distinct(F.flatten(F.transform("lines", retrieval_tokens)))).alias("term"))
+    known = own.join(words.select("term", "id"), "term").groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "id"))).alias("_ids"))
+    ids = F.coalesce("_ids", F.create_map().cast("map<string,int>"))
+    of_line = lambda line: F.concat(F.transform(retrieval_tokens(line), lambda t: F.coalesce(F.try_element_at(F.col("_known"), t), F.lit(unknown))), F.array(F.lit(EOS)))
+    joined = sessions.join(known, "session_id", "left").withColumn("_known", ids).drop("_ids")
+    _, segments = token_ids(F.col("lines"))
+    return joined.select(*sessions.columns, F.concat(F.array(F.lit(BOS)), F.flatten(F.transform("lines", of_line))).alias("input_ids"), segments.alias("segment_ids"))
+
+
 def padded(ids: Column, size: Column | int) -> Column:
     """Zeros on the right up to ``size``, cut beyond it."""
     size = F.lit(size) if isinstance(size, int) else size

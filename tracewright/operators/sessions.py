@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import anomalous, evidence_id, key_id, label_flag, log_time, long_enough, message, only_key, first_key, window_id  # noqa: F401
+from ..functions.lines import anomalous, evidence_id, key_id, label_flag, log_time, long_enough, message, only_key, first_key, retrieval_tokens, window_id  # noqa: F401
 
 
 def count_windows(lines: DataFrame, size: int = 10, step: int = 10, include_last: bool = False) -> DataFrame:
@@ -57,6 +57,12 @@ def with_labels(sessions: DataFrame, labels: DataFrame, exact: bool = False) ->
     return sessions.join(own, "block_id", "left").withColumn("label", label_flag(F.col("_label"), exact)).drop("_label")
 
 
+def inspection(sessions: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` sessions by id, with their lines' words as one text (AGG12)."""
+    first = sessions.orderBy("session_id").limit(n)
+    return first.select("session_id", "label", F.size("lines").alias("n_lines"), F.array_join(F.flatten(F.transform("lines", retrieval_tokens)), " ").alias("decoded"))
+
+
 def shaped(lines: Column, size: int) -> Column:
     """Exactly ``size`` lines: cut, or filled up with empty ones."""
     return F.slice(F.concat(lines, F.array_repeat(F.lit(""), F.greatest(size - F.size(lines), F.lit(0)))), 1, size)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import first_key, key_id
 from ..operators.evidence import batch_retrieve, bm25_index, build_evidence
-from ..operators.explain import parsed, prompts, token_total
+from ..operators.explain import parsed, prompts, results, token_total
 from ..operators.metrics import run_metrics
 from ..operators.sessions import count_windows, keyed_sessions, with_labels
 from ..operators.splits import stratified_split
 from ..operators.verify import verify
+from ..sources.logs import append_metrics, save_records
 from ..sources.scratch import Work
 
 
@@ -55,5 +56,18 @@ def outcomes(scores: DataFrame, finished: DataFrame) -> DataFrame:
     return scores.select("session_id", (F.col("pred") == 1).alias("is_anomaly")).join(done, "session_id", "left")
 
 
+def save_results(finished: DataFrame, scores: DataFrame, path: str, config: dict[str, str] | None = None) -> None:
+    """Records as JSON lines in ``path/records``, and the run's figures, with its settings, added to ``path/metrics``."""
+    save_records(records(finished), f"{path}/records")
+    report = run_report(scores, finished)
+    append_metrics(report.select("*", *[F.lit(v).alias(k) for k, v in (config or {}).items()]), f"{path}/metrics")
+
+
+def records(finished: DataFrame) -> DataFrame:
+    """The result record of each explained session."""
+    answers = finished.select("session_id", "explanation", "total_tokens", "latency_ms")
+    return results(finished.drop("explanation", "total_tokens", "latency_ms"), answers)
+
+
 def run_report(scores: DataFrame, finished: DataFrame) -> DataFrame:
     return run_metrics(outcomes(scores, finished))

@@ -22,6 +22,7 @@ from .operators import sessions as W
 from .operators import splits as P
 from .operators import verify as V
 from .plans import explain_all as A
+from .sources import logs as O
 from .sources.scratch import Work
 
 QUERIES: dict = {}
@@ -375,10 +376,14 @@ DOC_EV = "dev AS (SELECT 'E_' || doc_id::VARCHAR AS evidence_id, doc_id::VARCHAR
 BENCH_Q = "bq AS (SELECT 'B' || item_id::VARCHAR AS query_id, text AS query FROM benchmark)"
 
 
+def benchmark_queries(spark, d) -> DataFrame:
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    return b.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("array<string>").alias("exclude"))
+
+
 def benchmark_hits(spark, d, k=5):
     ev = document_evidence(spark, d)
-    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("array<string>").alias("exclude"))
-    return E.retrieve(q, ev, E.bm25_index(ev), k, digits=6)
+    return E.retrieve(benchmark_queries(spark, d), ev, E.bm25_index(ev), k, digits=6)
 
 
 @query("bm25_terms", f"WITH {DOC_EV}, {bm25_sql('dev')} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -468,14 +473,10 @@ def parsed_answers(spark, d):
     return p.select("session_id", "parse_failed", x["prediction"].alias("prediction"), x["summary"].alias("summary"), F.size(x["claims"]).alias("n_claims"), x["insufficient_evidence"].alias("insufficient"), F.array_join(F.array_sort(X.cited_ids(x)), ",").alias("cited"), X.coverage(x).alias("coverage"))
 
 
-PRICES = [(1, "gpt-4o", 2.5, 10.0), (2, "gpt-4o-mini", 0.15, 0.6), (3, "gpt-4-turbo", 10.0, 30.0), (4, "gpt-4", 30.0, 60.0), (5, "gpt-3.5-turbo", 0.5, 1.5)]
-
-
 @query("answer_costs", f"""WITH {windows_sql(10, 10)}, {ANSWERS} SELECT session_id, coalesce(tt, pt + ct) AS tokens,
   round(CASE model WHEN 'gpt-4o-mini' THEN pt / 1e6 * 2.5 + ct / 1e6 * 10 WHEN 'gpt-4-turbo' THEN pt / 1e6 * 10 + ct / 1e6 * 30 ELSE 0 END, 9)::DOUBLE AS cost_usd FROM ans""")
 def answer_costs(spark, d):
-    prices = spark.createDataFrame(PRICES, "ord int, key string, input double, output double")
-    c = X.costs(answers(spark, d), prices)
+    c = X.costs(answers(spark, d))
     return c.select("session_id", X.token_total(F.col("total_tokens"), F.col("prompt_tokens"), F.col("completion_tokens")).alias("tokens"), F.round("cost_usd", 9).alias("cost_usd"))
 
 
@@ -585,11 +586,15 @@ def run_metrics(spark, d):
 
 @query("session_inspection", f"WITH {windows_sql(10, 10)} SELECT session_id, label, len(ls)::INT AS n_lines, lower(array_to_string(ls, ' ')) AS decoded FROM win ORDER BY session_id LIMIT 5")
 def session_inspection(spark, d):
-    s = windows(spark, d).orderBy("session_id").limit(5)
-    return s.select("session_id", "label", F.size("lines").alias("n_lines"), F.array_join(F.flatten(F.transform("lines", L.retrieval_tokens)), " ").alias("decoded"))
+    return W.inspection(windows(spark, d))
 
 
-@query("explain_all_run")
+@query("explain_all_run", f"""WITH {SPLIT_WINDOWS}, {SCORED}, {ANSWERS}, o AS (SELECT sc.pred = 1 AS a, CASE WHEN sc.pred = 1 AND sc.start_idx % 13 <> 0 THEN true END AS x,
+  CASE WHEN pr.bad THEN 0 ELSE coalesce(tt, pt + ct) END AS t, CASE WHEN pr.bad THEN 0 ELSE sc.start_idx % 97 END::DOUBLE AS l, false AS v  -- no answer of these covers 0.8 of its claims
+  FROM sc JOIN spl ON spl.session_id = sc.session_id AND split = 'test' JOIN pr ON pr.session_id = sc.session_id JOIN ans ON ans.session_id = sc.session_id)
+SELECT count(*) AS sessions, count_if(a) AS anomalies, count_if(x) AS explained, count_if(a) - count_if(x) AS failed, round(count_if(a) / count(*)::DOUBLE, 9) AS trigger_rate, round(coalesce(count_if(x) / nullif(count_if(a), 0)::DOUBLE, 0), 9) AS success_rate,
+  round(coalesce(count_if(x AND v) / nullif(count_if(x), 0)::DOUBLE, 0), 9) AS verification_rate, coalesce(sum(t) FILTER (WHERE x), 0)::BIGINT AS tokens, round(coalesce(sum(t) FILTER (WHERE x) / nullif(count_if(x), 0)::DOUBLE, 0), 9) AS avg_tokens,
+  round(coalesce(avg(l) FILTER (WHERE x), 0), 9) AS mean_latency, round(coalesce(quantile_cont(l, 0.95) FILTER (WHERE x), 0), 9) AS p95_latency FROM o""")
 def explain_all_run(spark, d):
     """Both phases over the whole log; the answers are those of ``answers``."""
     s = Work(spark, "windows").table(split_windows(spark, d), "sessions")
@@ -598,4 +603,265 @@ def explain_all_run(spark, d):
     scores = scores.join(test, "session_id", "left_semi")
     prepared = A.prepare_prompts(s, scores, "BGL")
     given = answers(spark, d).withColumn("error", F.when(F.col("start_idx") % 13 == 0, "timeout"))
-    return A.run_report(scores, A.finish_explanations(prepared, given))
+    m = A.run_report(scores, A.finish_explanations(prepared, given))
+    return m.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in m.dtypes])
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _path(spark, name: str) -> str:
+    """A place in the shared folder for what a query writes and reads again."""
+    return Work(spark, name).root
+
+
+@query("log_files", f"WITH {LINES} SELECT user_id % 4 AS part, row_number() OVER (PARTITION BY user_id % 4 ORDER BY line_no) - 1 AS line_no, line FROM lines")
+def log_files(spark, d):
+    """The log as four text files, read with the lines' places in their files."""
+    path = _path(spark, "log")
+    rows = event_lines(spark, d).withColumn("part", F.col("user_id") % 4)
+    rows.repartition(4, "part").sortWithinPartitions("part", "line_no").select("part", F.concat(F.lit("  "), "line", F.lit("\t ")).alias("line")).write.partitionBy("part").text(path)
+    got = O.read_lines(spark, f"{path}/part=*")
+    return got.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part"), "line_no", "line")
+
+
+@query("label_file", "SELECT doc_id::VARCHAR AS block_id, CASE WHEN quality = 0 THEN 'Anomaly' ELSE 'Normal' END AS label FROM labels")
+def label_file(spark, d):
+    path = _path(spark, "labels")
+    quality_labels(spark, d).select(F.col("block_id").alias("BlockId"), F.col("label").alias("Label")).write.csv(path, header=True)
+    return O.read_labels(spark, path)
+
+
+@query("built_once", f"WITH {EVIDENCE} SELECT evidence_id, doc_idx, text, label, num_lines, 1 AS builds FROM ev")
+def built_once(spark, d):
+    """The evidence, built and written at the first call, read at the second."""
+    path, calls = _path(spark, "evidence"), []
+    for _ in range(2):
+        got = O.load_or_build(spark, path, lambda: calls.append(1) or evidence_of(spark, d))
+    return got.select("evidence_id", "doc_idx", "text", "label", "num_lines", F.lit(len(calls)).alias("builds"))
+
+
+@query("stored_index", ORACLES["bm25_top"])
+def stored_index(spark, d):
+    path, ev = _path(spark, "index"), document_evidence(spark, d)
+    O.save_index(E.bm25_index(ev), path)
+    return E.retrieve(benchmark_queries(spark, d), ev, O.load_index(spark, path), digits=6).select("query_id", "rank", "evidence_id", "score")
+
+
+@query("saved_records", f"""WITH {windows_sql(10, 10)}, {ANSWERS} SELECT session_id, label, 'E_1_' || session_id AS first_evidence, prediction, n_claims FROM pr JOIN (SELECT session_id, label FROM win) USING (session_id)""")
+def saved_records(spark, d):
+    """Result records as JSON lines, read again."""
+    path = _path(spark, "records")
+    O.save_records(explained_records(spark, d), path)
+    got = spark.read.schema("session_id string, label int, evidence_ids array<string>, explanation struct<prediction string, claims array<struct<claim string>>>, created_at string").json(path)
+    ok = got.where("created_at IS NOT NULL")
+    return ok.select("session_id", "label", F.get("evidence_ids", F.lit(0)).alias("first_evidence"), F.col("explanation.prediction").alias("prediction"), F.size("explanation.claims").alias("n_claims"))
+
+
+@query("appended_metrics", ORACLES["run_metrics"].replace("SELECT count(*) AS sessions", "SELECT unnest(['first', 'second']) AS run, count(*) AS sessions"))
+def appended_metrics(spark, d):
+    """The figures of two runs in one file of JSON lines."""
+    path = _path(spark, "metrics")
+    for run in ("first", "second"):
+        O.append_metrics(run_metrics(spark, d).withColumn("run", F.lit(run)), path)
+    kinds = ", ".join(f"{c} {'string' if c == 'run' else t}" for c, t in [*run_metrics(spark, d).dtypes, ("run", "string")])
+    return spark.read.schema(kinds).json(path)
+
+
+@query("saved_report", ORACLES["classification_report"])
+def saved_report(spark, d):
+    path = _path(spark, "report")
+    O.save_report(report(spark, d), path)
+    return spark.read.csv(path, header=True, schema="name string, precision string, recall string, f1 string, support bigint")
+
+
+# ---------------------------------------------------------------- loaders
+
+
+@query("loaded_windows", f"WITH {SPLIT_WINDOWS} SELECT session_id, label, split, len(ls)::INT AS n_lines FROM spl")
+def loaded_windows(spark, d):
+    return A.load_sessions(event_lines(spark, d), "bgl").select("session_id", "label", "split", F.size("lines").alias("n_lines"))
+
+
+def block_lines(spark, d) -> DataFrame:
+    """The log with a time and one block key in front; each 11th line has two keys, each 13th none."""
+    i = F.col("line_no")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyMMdd HHmmss")
+    key = F.concat(F.lit("blk_-"), F.col("user_id").cast("string"))
+    keys = F.when(i % 13 == 0, "no block").when(i % 11 == 0, F.concat(key, F.lit(" and blk_7"))).otherwise(key)
+    return event_lines(spark, d).select("line_no", F.concat(stamp, F.lit(" INFO "), keys, F.lit(" "), "line").alias("line"))
+
+
+BLOCKS = f"""{LINES}, bl AS (SELECT line_no, ts, CASE WHEN line_no % 13 <> 0 THEN 'blk_-' || user_id::VARCHAR END AS block_id, line_no % 11 = 0 AND line_no % 13 <> 0 AND user_id <> -7 AS two,
+  strftime(ts, '%y%m%d %H%M%S') || ' INFO ' || CASE WHEN line_no % 13 = 0 THEN 'no block' WHEN line_no % 11 = 0 THEN 'blk_-' || user_id::VARCHAR || ' and blk_7' ELSE 'blk_-' || user_id::VARCHAR END || ' ' || line AS line FROM lines)"""
+
+
+def block_labels(spark, d) -> DataFrame:
+    u = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    return u.where("user_id % 2 = 0").select(F.concat(F.lit("blk_-"), F.col("user_id").cast("string")).alias("block_id"), F.when(F.col("user_id") % 6 == 0, "Anomaly").otherwise("Normal").alias("label"))
+
+
+@query("loaded_blocks", f"""WITH {BLOCKS}, win AS (SELECT 'HDFS_' || block_id AS session_id, (-replace(block_id, 'blk_', '')::BIGINT % 6 = 0)::INT AS label, list(line ORDER BY line_no) AS ls FROM bl WHERE block_id IS NOT NULL GROUP BY block_id), {SPLIT}
+SELECT session_id, label, split, len(ls)::INT AS n_lines, md5(array_to_string(ls, chr(10))) AS digest FROM spl""")
+def loaded_blocks(spark, d):
+    s = A.load_sessions(block_lines(spark, d), "HDFS", block_labels(spark, d))
+    return s.select("session_id", "label", "split", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query("strict_sessions", f"WITH {BLOCKS} SELECT block_id, count(*)::INT AS n_lines, md5(string_agg(line, chr(10) ORDER BY date_trunc('second', ts), line_no)) AS digest FROM bl WHERE block_id IS NOT NULL AND NOT two GROUP BY block_id")
+def strict_sessions(spark, d):
+    s = W.strict_keyed_sessions(block_lines(spark, d), L.BLOCK_KEY)
+    return s.select("block_id", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query("vocabulary_ids", f"""WITH {windows_sql(10, 10)}, t AS (SELECT unnest(list_filter(regexp_split_to_array(lower(array_to_string(ls, ' ')), '\\s+'), lambda t: t <> '')) AS term FROM win),
+c AS (SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 500), v AS (SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 2)::INT AS id FROM c),
+m AS (SELECT map(list(term), list(id)) AS ids FROM v), per AS (SELECT session_id, flatten(list_transform(ls, lambda l: list_transform({_TOK}, lambda t: coalesce(ids[t], 0)) || [2])) AS p FROM win, m)
+SELECT session_id, '1,' || array_to_string(p, ',') AS ids FROM per""")
+def vocabulary_ids(spark, d):
+    w = windows(spark, d)
+    return Q.with_vocabulary_ids(w, Q.vocabulary(w, 500)).select("session_id", F.array_join("input_ids", ",").alias("ids"))
+
+
+@query("masked_arrays", f"""WITH {windows_sql(10, 10)}, wlines AS (SELECT session_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM win), {_mask_sql('wlines', 'session_id, i', 'line', K.rules_for('HDFS'))}
+SELECT session_id, count(*)::INT AS n_lines, string_agg(masked, '|' ORDER BY i) AS masked, sum(length(masked) + 1)::INT - 1 AS normalized_length FROM masked GROUP BY session_id""")
+def masked_arrays(spark, d):
+    got = E.masked_sessions(windows(spark, d), "HDFS", join=False)
+    return got.select("session_id", F.size("masked").alias("n_lines"), F.array_join("masked", "|").alias("masked"), "normalized_length")
+
+
+# ---------------------------------------------------------------- scores and hits of a caller's own
+
+
+def _error_logits(batches):
+    """A model of one's own: how many lines of a session speak of errors."""
+    import numpy as np
+    import pandas as pd
+
+    for b in batches:
+        n = np.array([sum("error" in line for line in lines) for lines in b["lines"]], float)
+        yield pd.DataFrame({"session_id": b["session_id"], "logits": list(np.stack([np.full(len(n), 1.5), n], 1))})
+
+
+@query("scored_with", f"""WITH {windows_sql(10, 10)}, lg AS (SELECT session_id, len(list_filter(ls, lambda l: contains(l, 'error')))::DOUBLE AS b FROM win)
+SELECT session_id, (b > 1.5)::INT AS pred, round(abs(exp(b - greatest(1.5, b)) - exp(1.5 - greatest(1.5, b))) / (exp(b - greatest(1.5, b)) + exp(1.5 - greatest(1.5, b))), 9) AS margin FROM lg""")
+def scored_with(spark, d):
+    s = S.score_with(windows(spark, d).select("session_id", "lines"), _error_logits)
+    return s.select("session_id", "pred", F.round("margin", 9).alias("margin"))
+
+
+@query("evidence_picks", f"WITH {EVIDENCE} SELECT 'ids' AS how, evidence_id, doc_idx FROM ev WHERE evidence_id IN ('E_BGL_00000010', 'E_BGL_00000020', 'E_BGL_00000030', 'E_none') UNION ALL SELECT 'position', evidence_id, doc_idx FROM ev WHERE doc_idx = 3")
+def evidence_picks(spark, d):
+    ev = evidence_of(spark, d)
+    found = {"ids": E.lookup(ev, ids=["E_BGL_00000010", "E_BGL_00000020", "E_BGL_00000030", "E_none"]), "position": E.lookup(ev, position=3)}
+    a, b = (v.select(F.lit(k).alias("how"), "evidence_id", "doc_idx") for k, v in found.items())
+    return a.unionByName(b)
+
+
+@query("batch_hits", ORACLES["session_retrieval"])
+def batch_hits(spark, d):
+    """The hits of a method by name, each session's own document left out."""
+    work = Work(spark, "chats")
+    s = work.table(chat_sessions(spark, d), "sessions")
+    ev = work.table(E.build_evidence(s, "BGL"), "evidence")
+    hits = E.retriever("bm25")(P.in_split(s, "val"), ev, E.bm25_index(ev), 5, dataset="BGL", digits=6)
+    return hits.select("query_id", "rank", "evidence_id", "score")
+
+
+@query("fused_hits", f"""WITH {DOC_EV}, {BENCH_Q}, {bm25_sql('dev')}, {top_sql('dev', 'bq', 5, False)}, rk AS (SELECT query_id, evidence_id, rank FROM top UNION ALL SELECT query_id, evidence_id, 6 - rank FROM top WHERE rank <= 3),
+sm AS (SELECT query_id, evidence_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk GROUP BY ALL), o AS (SELECT query_id, evidence_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, evidence_id)::INT AS rank FROM sm)
+SELECT query_id, evidence_id, score, rank FROM o WHERE rank <= 5""")
+def fused_hits(spark, d):
+    """BM25's ranking fused with one that turns its first three around."""
+    hits = benchmark_hits(spark, d).select("query_id", "rank", "evidence_id")
+    return E.fuse([hits, hits.where("rank <= 3").withColumn("rank", 6 - F.col("rank"))]).withColumn("score", F.round("score", 9))
+
+
+# ---------------------------------------------------------------- explanations end to end
+
+
+def flagged_records(spark, d) -> DataFrame:
+    """Every window with its score and three hits, as the prompt builder takes them."""
+    w = windows(spark, d).join(scored_windows(spark, d).select("session_id", "pred", "prob", "margin", "anomaly_prob"), "session_id")
+    return w.join(_records(spark, d).select("session_id", "hits"), "session_id")
+
+
+@query("full_prompts", f"""WITH {windows_sql(10, 10)}, {SCORED}, x AS (SELECT session_id, ls, printf('%.2f%%', p1 * 100) AS probability, printf('%.4f', abs(p1 - p0)) AS margin FROM win JOIN sc USING (session_id))
+SELECT session_id, 'This session was flagged as anomalous.' || chr(10) || chr(10) || 'Session ID: ' || session_id || chr(10) || 'Anomaly probability: ' || probability || chr(10) || 'Margin: ' || margin || chr(10) || chr(10)
+  || 'Log:' || chr(10) || array_to_string(ls[1:6], chr(10)) || chr(10) || '... (4 more lines)' || chr(10) || chr(10) || 'Evidence:' || chr(10)
+  || '[E1] (score: 1.00)' || chr(10) || 'Original ID: E_1_' || session_id || chr(10) || 'an error event' || chr(10) || chr(10) || '[E2] (score: 0.50)' || chr(10) || 'Original ID: E_2_' || session_id || chr(10) || 'all quiet here' || chr(10)
+  || chr(10) || chr(10) || 'Answer with one JSON object: prediction, summary, claims (claim, evidence_ids), insufficient_evidence.' AS prompt, 2 AS n_ids FROM x""")
+def full_prompts(spark, d):
+    got = X.prompts(flagged_records(spark, d), max_lines=6, max_items=2)
+    return got.select("session_id", "prompt", F.size("id_mapping").alias("n_ids"))
+
+
+def explained_records(spark, d) -> DataFrame:
+    f = X.prompts(flagged_records(spark, d))
+    return X.results(f, X.parsed(answers(spark, d)).select("session_id", "explanation", "total_tokens", "latency_ms"))
+
+
+@query("explained_sessions", f"""WITH {windows_sql(10, 10)}, {SCORED}, {ANSWERS} SELECT session_id, CASE WHEN pred = 0 THEN 'normal' ELSE prediction END AS prediction, CASE WHEN pred = 0 THEN 'No anomaly was detected.' ELSE summary END AS summary,
+  CASE WHEN pred = 0 THEN 0 ELSE 3 END AS evidence_count FROM sc JOIN (SELECT session_id, prediction, summary FROM pr) USING (session_id)""")
+def explained_sessions(spark, d):
+    scored = scored_windows(spark, d)
+    return X.explained(scored, explained_records(spark, d).join(scored.where("pred = 1").select("session_id"), "session_id", "left_semi"))
+
+
+@query("failed_answers", f"WITH {windows_sql(10, 10)} SELECT session_id, 'timeout' AS error FROM win WHERE start_idx % 13 = 0")
+def failed_answers(spark, d):
+    return X.failures(answers(spark, d).withColumn("error", F.when(F.col("start_idx") % 13 == 0, "timeout")))
+
+
+#: By kind of answer: its claims as (claim, cited ids).
+KINDS = (
+    (("An error event was logged", ("E1",)), ("All was quiet here before", ("E2",))),  # passes everything
+    (("An error event was logged", ("E1",)), ("Memory exhausted somewhere", ("E2", "E3"))),  # a claim that its evidence does not hold
+    (("An error event was logged", ("E1", "E9")),),  # an unknown id
+    (("An error event was logged", ("E1",)), ("Nothing cited for this", ())),  # half covered
+    (("An error event was logged", ("E1", "E2", "E3")), ("too few", ("E2",))),  # a third of the citations match; a short claim
+    (("Everything exhausted overall", ()),),  # nothing cited at all
+)
+
+
+def checked_records(spark, d) -> DataFrame:
+    """Complete answers of six kinds, with the hits of ``_records``."""
+    kind = (F.col("start_idx") / 10).cast("bigint") % len(KINDS)
+    claim = lambda c, ids: F.struct(F.lit(c).alias("claim"), F.array(*map(F.lit, ids)).cast("array<string>").alias("evidence_ids"), F.lit(None).cast("string").alias("confidence"))
+    claims = F.element_at(F.array(*[F.array(*[claim(*c) for c in k]) for k in KINDS]), (kind + 1).cast("int"))
+    x = F.struct(F.lit("anomaly").alias("prediction"), F.lit("Something failed").alias("summary"), claims.alias("claims"), F.lit(False).alias("insufficient_evidence"))
+    return _records(spark, d).withColumn("explanation", x)
+
+
+def _kinds_sql() -> str:
+    """The claims as a DuckDB table (kind, i, claim, ids)."""
+    rows = [f"({k}, {i}, '{c}', {list(ids)!r}::VARCHAR[])" for k, claims in enumerate(KINDS) for i, (c, ids) in enumerate(claims)]
+    return f"kc(kind, i, claim, ids) AS (VALUES {', '.join(rows)})"
+
+
+_STOP = ", ".join(f"'{w}'" for w in V.STOPWORDS)
+CHECKED = f"""{_kinds_sql()}, hit(id, text) AS (VALUES ('E1', 'an error event'), ('E2', 'all quiet here'), ('E3', 'nothing to see')),
+kw AS (SELECT kind, i, claim, ids, list_filter(list_distinct(regexp_extract_all(lower(claim), '\\b[a-z]{{4,}}\\b')), lambda w: w NOT IN ({_STOP})) AS words FROM kc),
+ci AS (SELECT kind, i, words, unnest(ids) AS id FROM kw), mt AS (SELECT ci.kind, ci.i, count(*) AS n, count_if(len(list_filter(words, lambda w: contains(coalesce(text, ''), w))) > 0) AS m, len(any_value(words)) AS k FROM ci LEFT JOIN hit USING (id) GROUP BY ci.kind, ci.i),
+lw AS (SELECT kind, count_if(k > 0 AND m / n::DOUBLE < 0.3) AS low FROM mt GROUP BY kind),
+kk AS (SELECT kind, count(*) AS claims, count_if(len(ids) > 0) AS cited, count_if(length(trim(claim)) < 10) AS short, list_distinct(flatten(list(ids))) AS all_ids FROM kc GROUP BY kind),
+ks AS (SELECT kind, coalesce(low, 0) AS low, len(list_filter(all_ids, lambda e: e NOT IN ('E1', 'E2', 'E3'))) > 0 AS f_ids, len(all_ids) = 0 AS w_ids, cited / claims::DOUBLE < 0.8 AS f_cov, short > 0 AS w_short FROM kk LEFT JOIN lw USING (kind)),
+cv AS (SELECT session_id, ks.* FROM win JOIN ks ON ks.kind = (start_idx // 10) % {len(KINDS)}),
+ct AS (SELECT session_id, 4 + greatest(low, 1) AS total_checks, f_ids::INT + f_cov::INT AS failed_checks, w_ids::INT + low + w_short::INT AS warnings FROM cv)"""
+
+
+@query("checked_answers", f"WITH {windows_sql(10, 10)}, {CHECKED} SELECT session_id, total_checks::INT AS total_checks, failed_checks::INT AS failed_checks, warnings::INT AS warnings, (total_checks - failed_checks - warnings)::INT AS passed_checks, failed_checks = 0 AS verified FROM ct")
+def checked_answers(spark, d):
+    return V.verify(checked_records(spark, d)).select("session_id", "total_checks", "failed_checks", "warnings", "passed_checks", "verified")
+
+
+@query("checked_issue_counts", f"""WITH {windows_sql(10, 10)}, {CHECKED}, i AS (SELECT 'structure' AS "check", 'pass' AS s, 1 AS n FROM cv UNION ALL SELECT 'evidence_ids', CASE WHEN f_ids THEN 'fail' WHEN w_ids THEN 'warning' ELSE 'pass' END, 1 FROM cv
+  UNION ALL SELECT 'coverage', CASE WHEN f_cov THEN 'fail' ELSE 'pass' END, 1 FROM cv UNION ALL SELECT 'keyword_match', CASE WHEN low > 0 THEN 'warning' ELSE 'pass' END, greatest(low, 1) FROM cv UNION ALL SELECT 'empty_claims', CASE WHEN w_short THEN 'warning' ELSE 'pass' END, 1 FROM cv)
+SELECT "check", coalesce(sum(n) FILTER (WHERE s = 'pass'), 0)::BIGINT AS pass, coalesce(sum(n) FILTER (WHERE s = 'fail'), 0)::BIGINT AS fail, coalesce(sum(n) FILTER (WHERE s = 'warning'), 0)::BIGINT AS warning FROM i GROUP BY 1""")
+def checked_issue_counts(spark, d):
+    return V.issue_counts(V.verify(checked_records(spark, d)))
+
+
+@query("checked_summary", f"WITH {windows_sql(10, 10)}, {CHECKED} SELECT count(*) AS total, count_if(failed_checks = 0) AS passed, round(count_if(failed_checks = 0) / count(*)::DOUBLE, 9) AS pass_rate FROM ct")
+def checked_summary(spark, d):
+    return V.summary(V.verify(checked_records(spark, d))).withColumn("pass_rate", F.round("pass_rate", 9))
