@@ -435,3 +435,13 @@ def test_models_on_empty_long_and_clashing(spark, module):
     long = spark.createDataFrame([(1, "word1 " * 200_000, "x", 1), (2, None, "y", 2)], "doc_id long, text string, score string, predicted int")
     got = module.score(long, model).collect()
     assert len(got) == 2 and all(isinstance(r.score, float) for r in got)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    quality_rules.judge(odd(spark))
+    assert spark.conf.get(name).rstrip("b") == str(8 << 20)
+    spark.conf.set(name, "123456")
+    quality_rules.judge(odd(spark))
+    assert spark.conf.get(name).rstrip("b") == "123456"
+    spark.conf.unset(name)

@@ -5,10 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Bytes of one Arrow batch of texts, in the executor's memory outside its heap and again in its
+#: Python worker.  Spark's own bound is eight times that, for each task.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small batches in this session, unless its user has set a bound."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: From a text column to one Arrow array for each new field, in the rows' order.
 Columns = Callable[[pa.Array], list]
 
@@ -20,6 +32,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     loaded once.  A column of ``df`` that has the name of a new field is replaced.  With
     ``drop_text`` the text itself goes no further than the task that reads it.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     if text_col.lower() in new:
         raise ValueError(f"a new column would replace the text column {text_col}")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import append_columns
+from ._arrow import append_columns, bounded_batches
 from ._text import Slice, signed, text_slices
 
 
@@ -251,6 +251,7 @@ def _hashes(chunks: list[bytes]) -> np.ndarray:
 def shared_chunks(documents: DataFrame, params: BpeParams, text_col: str = "text") -> dict[bytes, np.ndarray]:
     """The ids of the most frequent chunks that come more than once, each encoded once."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     texts = documents.select(F.col(f"`{text_col}`").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
