@@ -160,6 +160,11 @@ def test_token_counts_are_the_tokenizers(spark):
         for _ in range(500):
             t = "".join(rng.choice("aabb cé▁") for _ in range(rng.randint(1, 14)))
             assert own.text(t) == len(ref.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids)
+    fallback = [*vocab, *((f"<0x{b:02X}>", -9.0) for b in range(256))]
+    ref, own = Tokenizer(models.Unigram(fallback, unk_id=0, byte_fallback=True)), token_counts.Counter(fallback, True, 10)
+    for _ in range(500):
+        t = "".join(rng.choice("aabb cé▁漢") for _ in range(rng.randint(1, 14)))
+        assert own.text(t) == len(ref.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids), t
     got = token_counts.count_tokens(odd(spark)).select("text", "n_tokens").collect()
     assert all(r.n_tokens == 0 for r in got if not r.text) and all(r.n_tokens > 0 for r in got if r.text)
 

@@ -251,6 +251,28 @@ def test_html_keeps_what_few_pages_share(spark):
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {**texts, 22: ""}
 
 
+def test_a_long_chat(spark):
+    long = "word <|im_end|> " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (2, 0, "user", long), (2, 1, "bot", "ok")], "conv_id long, turn long, role string, text string")
+    (got,) = chat.format_chats(df).collect()
+    assert got.conv_id == 2 and len(got.rendered) > len(long) and got.rendered.count("<|im_end|>") == 2
+
+
+def test_pipeline_of_no_and_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, predicted string"
+    prose = " ".join(f"word{i}" for i in range(70_000)) + "."
+    odd = [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (None, prose[:500], "en", "s", 1, "x"), (3, prose, "en", "s", 1, "x"), (3, prose, "en", "s", 1, "x")]
+    for name, rows in (("none", []), ("odd", odd)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "3", "None"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

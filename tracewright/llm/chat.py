@@ -14,7 +14,8 @@ is broken by a space after ``<``, so that no text can open or close a turn.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, whatever order rows come
 in; exact repeats of a row (as logs give) count once; a null text is empty and a null role is
-"unknown"; rows with a null conv_id are left out; extra columns are ignored; no rows, no result.
+"unknown"; rows with a null conv_id are left out; a text of any length is rendered whole; columns
+other than conv_id, turn, role and text are ignored, whatever their names; no rows, no result.
 """
 
 from __future__ import annotations

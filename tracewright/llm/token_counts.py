@@ -16,7 +16,9 @@ other vocabularies the whole text is one word.
 The public vocabularies have no unigram model; the production parameter takes the pieces and
 scores of the public sentencepiece file as one.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are alike; a text is never cut.
+Defined results: null and empty texts have 0 tokens; an empty table gives no rows; repeated rows
+are alike; a text of any length is counted whole, by one task; a column named like the result is
+replaced, others are kept.
 """
 
 from __future__ import annotations

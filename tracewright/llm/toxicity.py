@@ -67,6 +67,11 @@ class Weights:
     slots: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    @property
+    def empty(self) -> bool:
+        """Nothing was learned: there were no labels."""
+        return not len(self.slots) and self.bias == 0
+
 
 def feature_slots(part: Slice, bits: int, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """The document (within the slice) and slot of each occurrence of a feature."""
