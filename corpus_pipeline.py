@@ -2,8 +2,13 @@
 leaks, and tokens, in this order.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but
-the last return the columns of ``documents``.  Rows with a null id have no copies and no hits to
-be dropped by.  Models are learned from ``sf_dir``'s labels and documents, never from scores.
+the last return the columns of ``documents``.  Models are learned from ``sf_dir``'s labels and
+documents, never from scores.
+
+Defined results: a null or empty text goes at the quality rules; rows with a null id have no copies
+and no hits to be dropped by; exact repeats of a row stay or go together; empty tables give no rows;
+a text of any length is worked on whole; columns that are named like an operator's own pass through all
+stages but the last unchanged.
 """
 
 from __future__ import annotations
@@ -20,8 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; without any labels there is no model, and all stay."""
     model = toxicity.trained(spark, _documents(spark, sf_dir), sf_dir)
+    if model.empty:
+        return docs
     plain = docs.select(*[F.col(c).alias(f"_{c}") for c in docs.columns])  # no clash with new columns
     scored = toxicity.score(plain, model, text_col="_text").where("predicted = 0")
     return scored.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
