@@ -34,13 +34,16 @@ def fit_classifier(train: DataFrame, val: DataFrame, weight: float = 4.0, featur
     label 1 on ``val`` is kept."""
     shaped = lambda df: df.withColumn("tokens", retrieval_tokens(F.array_join("lines", " "))).withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
     stages = lambda r: [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=r, maxIter=20)]
+    seen, held = shaped(train).select("tokens", "label", "weight").persist(), shaped(val).select("tokens", "label").persist()  # until the last fit
     best = None
     for r in reg:
-        m = Pipeline(stages=stages(r)).fit(shaped(train))
-        tp, fp, fn = m.transform(shaped(val)).agg(*[F.count_if((F.col("label") == y) & (F.col("prediction") == p)) for y, p in ((1, 1), (0, 1), (1, 0))]).first()
+        m = Pipeline(stages=stages(r)).fit(seen)
+        tp, fp, fn = m.transform(held).agg(*[F.count_if((F.col("label") == y) & (F.col("prediction") == p)) for y, p in ((1, 1), (0, 1), (1, 0))]).first()
         f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
         if best is None or f1 > best[0]:
             best = (f1, m)
+    seen.unpersist()
+    held.unpersist()
     return best[1]
 
 

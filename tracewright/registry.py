@@ -315,7 +315,7 @@ def gated_anomalies(spark, d):
 @query("classified_sessions")
 def classified(spark, d):
     s = W.with_labels(document_sessions(spark, d), quality_labels(spark, d)).withColumnRenamed("block_id", "session_id")
-    s = P.stratified_split(s)
+    s = Work(spark, "labelled").table(P.stratified_split(s), "sessions")
     train = P.oversampled(P.in_split(s, "train")).drop("draw")
     m = S.fit_classifier(train, P.in_split(s, "val"))
     return S.score_sessions(m, P.in_split(s, "test")).select("session_id", "label", "pred", "margin", "confidence")
