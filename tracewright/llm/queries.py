@@ -7,6 +7,7 @@ from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP7_SQL, op7_decontamination
 from .html_text import op5_html_extraction
 from .language_id import op6_language_id
+from .line_dedup import OP11_SQL, op11_line_dedup
 from .minhash import op4_minhash_dedup
 from .quality_model import op8_quality_model
 from .quality_rules import OP2_SQL, op2_quality_rules
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op7_decontamination": OP7_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
