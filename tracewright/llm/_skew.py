@@ -13,8 +13,8 @@ from ._work import Work
 HOT_KEYS = 10_000
 
 
-def counted_join(work: Work, rows: DataFrame, table: DataFrame, on: Sequence[str], n: str, spread: Sequence[Column], hot_keys: int = HOT_KEYS) -> DataFrame:
-    """``rows`` with the other columns of ``table`` (one row a key, ``n`` rows of ``rows`` each), inner.
+def counted_join(work: Work, rows: DataFrame, table: DataFrame, on: Sequence[str], n: str, spread: Sequence[Column], how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with the other columns of ``table`` (one row a key, ``n`` rows of ``rows`` each), inner or left.
 
     ``table`` must be a written one.  Keys that hold 1 / ``hot_keys`` of all its counted rows or more
     are sent to every task: there are at most ``hot_keys`` of them, whatever the input.  Their rows
@@ -33,5 +33,6 @@ def counted_join(work: Work, rows: DataFrame, table: DataFrame, on: Sequence[str
     marked = marked.select("*", cold.alias("_cold"), *[F.when(cold, F.col(c)).otherwise(away.cast(rows.schema[c].dataType) if i == 0 else F.lit(None)).alias(k) for i, (c, k) in enumerate(zip(on, keys, strict=True))])
     rest = rest.select(*[F.col(c).alias(f"_t{k}") for c, k in zip(on, keys, strict=True)], *[c for c in rest.columns if c not in on])
     same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) if i else F.col(k) == F.col(f"_t{k}") for i, k in enumerate(keys)]
-    met = marked.join(rest, [*same, F.col("_cold") == F.col("_r_met")], "left").where("_h_met OR _r_met")
+    met = marked.join(rest, [*same, F.col("_cold") == F.col("_r_met")], "left")
+    met = met.where("_h_met OR _r_met") if how == "inner" else met
     return met.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_r_{c}").alias(c) for c in own])

@@ -11,6 +11,7 @@ from .line_dedup import OP11_SQL, op11_line_dedup
 from .minhash import op4_minhash_dedup
 from .quality_model import op8_quality_model
 from .quality_rules import OP2_SQL, op2_quality_rules
+from .role_repair import OP12_SQL, op12_role_repair
 from .token_counts import op9_token_counts
 from .toxicity import op10_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_line_dedup": op11_line_dedup,
+    "op12_role_repair": op12_role_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op7_decontamination": OP7_SQL,
     "op11_line_dedup": OP11_SQL,
+    "op12_role_repair": OP12_SQL,
 }
