@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP7_SQL, op7_decontamination
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_text import op5_html_extraction
 from .language_id import op6_language_id
 from .line_dedup import OP11_SQL, op11_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_line_dedup": op11_line_dedup,
     "op12_role_repair": op12_role_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": OP7_SQL,
     "op11_line_dedup": OP11_SQL,
     "op12_role_repair": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
