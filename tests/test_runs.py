@@ -50,8 +50,8 @@ def test_sweep(fitted):
 
 def test_retriever_names():
     assert evidence.retriever() is evidence.batch_retrieve
-    with pytest.raises(NotImplementedError):
-        evidence.retriever("dense")
+    assert evidence.retriever("dense") is evidence.dense_batch_retrieve
+    assert evidence.retriever("hybrid") is evidence.hybrid_batch_retrieve
     with pytest.raises(ValueError):
         evidence.retriever("other")
 

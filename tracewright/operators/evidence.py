@@ -1,4 +1,4 @@
-"""Evidence corpus and BM25 retrieval (RET1-9), and fusion of rankings from elsewhere."""
+"""Evidence corpus, BM25 retrieval (RET1-9), and retrieval by vectors and by both (OPT2)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions.lines import evidence_id, retrieval_tokens
 from ..functions.masking import compression_ratio, mask, mask_columns, rules_for
 from ..functions.rank import hash_rank
 from ..sources.scratch import Work
+from .dense import DenseIndex, dense_index, dense_retrieve, text_vectors
 
 
 def masked_sessions(sessions: DataFrame, dataset: str = "", stats: bool = False, custom=(), join: bool = True) -> DataFrame:
@@ -153,13 +154,38 @@ def batch_retrieve(sessions: DataFrame, evidence: DataFrame, index: dict[str, Da
     return retrieve(sessions.select(F.col("session_id").alias("query_id"), query_text(F.col("lines"), dataset).alias("query"), own.alias("exclude")), evidence, index, k, digits=digits)
 
 
+def evidence_vectors(evidence: DataFrame, dim: int = 64) -> DataFrame:
+    """Evidence with its ``vector``: the one it has (of a model of your own), or that of its text."""
+    if "vector" in evidence.columns:
+        return evidence
+    return evidence.join(text_vectors(evidence, "evidence_id", F.col("text"), dim), "evidence_id")
+
+
+def dense_batch_retrieve(sessions: DataFrame, evidence: DataFrame, index: DenseIndex | None = None, k: int = 5, exclude_self: bool = True, dataset: str = "", dim: int = 64, **options) -> DataFrame:
+    """``batch_retrieve`` by the cosine of vectors: ``vector`` columns if both sides have them, else those of the texts."""
+    own = F.array("session_id") if exclude_self else F.lit(None).cast("array<string>")
+    index = index or dense_index(evidence_vectors(evidence, dim))
+    q = sessions
+    if "vector" not in sessions.columns:
+        texts = sessions.select("session_id", query_text(F.col("lines"), dataset).alias("query"))
+        q = sessions.select("session_id").join(text_vectors(texts, "session_id", F.col("query"), dim), "session_id")
+    hits = dense_retrieve(q.select(F.col("session_id").alias("query_id"), "vector", own.alias("exclude")), index, k, **options)
+    return hits.join(evidence.select("evidence_id", "text", "label"), "evidence_id").select("query_id", "rank", "evidence_id", "session_id", "score", "text", "label")
+
+
+def hybrid_batch_retrieve(sessions: DataFrame, evidence: DataFrame, index: tuple[dict[str, DataFrame], DenseIndex] | None = None, k: int = 5, exclude_self: bool = True, dataset: str = "", depth: int = 4, digits: int | None = None) -> DataFrame:
+    """BM25's and the vectors' best ``depth * k`` documents by reciprocal-rank fusion."""
+    terms, vectors = index or (bm25_index(evidence), dense_index(evidence_vectors(evidence)))
+    lists = [batch_retrieve(sessions, evidence, terms, depth * k, exclude_self, dataset, digits=digits), dense_batch_retrieve(sessions, evidence, vectors, depth * k, exclude_self, dataset)]
+    return fuse(lists, k).join(evidence.select("evidence_id", "session_id", "text", "label"), "evidence_id").select("query_id", "rank", "evidence_id", "session_id", "score", "text", "label")
+
+
 def retriever(method: str = "bm25"):
-    """The retrieval function of a method; dense and hybrid retrieval need vectors: see ``fuse``."""
-    if method == "bm25":
-        return batch_retrieve
-    if method in ("dense", "hybrid"):
-        raise NotImplementedError(f"{method}: rank by vectors outside and combine the lists with fuse()")
-    raise ValueError(f"unknown retrieval method: {method}")
+    """The retrieval function of a method."""
+    methods = {"bm25": batch_retrieve, "dense": dense_batch_retrieve, "hybrid": hybrid_batch_retrieve}
+    if method not in methods:
+        raise ValueError(f"unknown retrieval method: {method}")
+    return methods[method]
 
 
 def fuse(rankings: list[DataFrame], k: int = 5, c: int = 60) -> DataFrame:

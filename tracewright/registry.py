@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import lines as L
 from .functions import masking as K
+from .operators import dense as D
 from .operators import evidence as E
 from .operators import explain as X
 from .operators import metrics as M
@@ -777,6 +778,60 @@ def fused_hits(spark, d):
     return E.fuse([hits, hits.where("rank <= 3").withColumn("rank", 6 - F.col("rank"))]).withColumn("score", F.round("score", 9))
 
 
+# ---------------------------------------------------------------- vectors
+
+
+def embedding_rows(spark, d) -> DataFrame:
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    sid = F.col("vec_id").cast("string")
+    return v.select(L.evidence_id(sid).alias("evidence_id"), sid.alias("session_id"), F.col("vec_id").alias("doc_idx"), F.col("embedding").alias("vector"))
+
+
+@query("dense_hits", """WITH s AS (SELECT q.vec_id AS q, e.vec_id AS v, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+SELECT q::VARCHAR AS query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, v)::INT AS rank, 'E_' || v::VARCHAR AS evidence_id, score FROM s QUALIFY rank <= 5""")
+def dense_hits(spark, d):
+    """Every fiftieth vector as a query against all others."""
+    rows = embedding_rows(spark, d)
+    q = rows.where("doc_idx % 50 = 0").select(F.col("session_id").alias("query_id"), "vector", F.array("session_id").alias("exclude"))
+    return D.dense_retrieve(q, D.dense_index(rows), 5).select("query_id", "rank", "evidence_id", "score")
+
+
+_TV = f"""(SELECT id, b, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS w FROM (SELECT id, h, h % 64 AS b FROM (SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM (SELECT {{id}} AS id, unnest({_RT.format('{text}')}) AS term FROM {{source}}))) GROUP BY id, b)"""
+
+
+def text_cosine_sql(queries: str, docs: str, drop: str, k: int, out: str = "dtop") -> str:
+    """The best documents by the cosine of hashed term counts."""
+    n = lambda c: f"SELECT id, sqrt(sum(w * w)) AS n FROM {c} GROUP BY id HAVING sum(w * w) > 0"
+    return f"""qv AS MATERIALIZED {_TV.format(id='query_id', text='query', source=queries)}, ev_ AS MATERIALIZED {_TV.format(id='evidence_id', text='text', source=docs)}, qn AS ({n('qv')}), en AS ({n('ev_')}),
+dt_ AS (SELECT q.id AS query_id, e.id AS evidence_id, sum(q.w * e.w) AS dot FROM qv q JOIN ev_ e USING (b) GROUP BY ALL),
+ds AS (SELECT qn.id AS query_id, en.id AS evidence_id, round(coalesce(dot, 0) / (qn.n * en.n), 6) AS score FROM qn CROSS JOIN en LEFT JOIN dt_ ON dt_.query_id = qn.id AND dt_.evidence_id = en.id),
+{out} AS (SELECT query_id, evidence_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx)::INT AS rank FROM ds JOIN {docs} USING (evidence_id) WHERE {drop} QUALIFY rank <= {k})"""
+
+
+@query("text_vector_hits", f"WITH {DOC_EV}, {BENCH_Q}, {text_cosine_sql('bq', 'dev', 'true', 5)} SELECT query_id, rank, evidence_id, score FROM dtop")
+def text_vector_hits(spark, d):
+    """Benchmark items as queries against all documents, by vectors of their texts."""
+    ev = E.evidence_vectors(document_evidence(spark, d))
+    b = benchmark_queries(spark, d)
+    q = b.join(D.text_vectors(b, "query_id", F.col("query")), "query_id").select("query_id", "vector", "exclude")
+    return D.dense_retrieve(q, D.dense_index(ev), 5).select("query_id", "rank", "evidence_id", "score")
+
+
+SESSION_TOP_20 = SESSION_TOP.replace("QUALIFY rank <= 5", "QUALIFY rank <= 20")
+
+
+@query("hybrid_hits", f"""WITH {SESSION_TOP_20}, {text_cosine_sql('wq', 'ev', 'session_id <> query_id', 20)}, rk AS (SELECT query_id, evidence_id, rank FROM top UNION ALL SELECT query_id, evidence_id, rank FROM dtop),
+sm AS (SELECT query_id, evidence_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk GROUP BY ALL)
+SELECT query_id, evidence_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id)::INT AS rank FROM sm QUALIFY rank <= 5""")
+def hybrid_hits(spark, d):
+    """Conversations held out, against the others, by terms and by vectors."""
+    work = Work(spark, "chats")
+    s = work.table(chat_sessions(spark, d), "sessions")
+    ev = work.table(E.build_evidence(s, "BGL"), "evidence")
+    hits = E.retriever("hybrid")(P.in_split(s, "val"), ev, None, 5, dataset="BGL", digits=6)
+    return hits.select("query_id", "evidence_id", F.round("score", 9).alias("score"), "rank")
+
+
 # ---------------------------------------------------------------- explanations end to end
 
 
