@@ -9,6 +9,7 @@ from ..functions.lines import evidence_id, retrieval_tokens
 from ..functions.masking import compression_ratio, mask, mask_columns, rules_for
 from ..functions.rank import hash_rank
 from ..sources.scratch import Work
+from .bm25 import best_scores, bm25_index, bm25_scores, grown_index, query_terms, retrieve, unscored  # noqa: F401
 from .dense import DenseIndex, dense_index, dense_retrieve, text_vectors
 
 
@@ -51,104 +52,11 @@ def lookup(evidence: DataFrame, ids: list[str] | None = None, label: int | None
     return evidence if position is None else evidence.where(F.col("doc_idx") == position)
 
 
-def bm25_index(evidence: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> dict[str, DataFrame]:
-    """Postings ``(term, text_id, weight)``, texts, terms and one row of corpus figures.
-
-    Equal texts have equal scores, so each distinct text is indexed once, with the number of
-    documents that have it; all counts use that number.  ``docs`` has the texts' lengths, their first
-    document and ``pos``, their place in the order of first documents.  Texts with their tokens, term
-    counts and terms are written once; of the corpus only single figures come to the driver.
-    """
-    work = Work(evidence.sparkSession, "bm25")
-    texts = evidence.groupBy(F.md5("text").alias("text_id")).agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("doc_idx").alias("first_idx"))
-    texts = work.table(texts.select("text_id", "copies", "first_idx", retrieval_tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t")), "texts")
-    tf = work.table(texts.select("text_id", "copies", "dl", F.explode("_t").alias("term")).groupBy("term", "text_id", "copies", "dl").agg(F.count("*").alias("tf")), "tf")
-    size = texts.agg(F.sum("copies").alias("n"), (F.sum(F.col("dl") * F.col("copies")) / F.sum("copies")).alias("avgdl"), (F.max("first_idx") + 1).alias("span")).first()
-    n, avgdl = size.n or 0, size.avgdl or 0.0
-    raw = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    counted = work.table(tf.groupBy("term").agg(F.sum("copies").alias("df")).withColumn("raw", raw), "terms")
-    mean = counted.agg(F.avg("raw")).first()[0] or 0.0
-    terms = counted.select("term", "df", F.when(F.col("raw") < 0, F.lit(mean * epsilon)).otherwise(F.col("raw")).alias("idf"))
-    corpus = evidence.sparkSession.range(1).select(*[F.lit(v).alias(c) for c, v in (("n", n), ("avgdl", avgdl), ("avg_idf", mean), ("k1", k1), ("b", b))])
-    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    postings = tf.join(terms, "term").select("term", "text_id", w.alias("weight"))
-    # places by counts of ranges of first documents, then inside them: no window holds all texts
-    part = F.floor(F.col("first_idx") / F.lit(max(1, -(-(size.span or 1) // 4096)))).cast("int")
-    placed = texts.select("text_id", "copies", "dl", "first_idx", part.alias("_b"))
-    before = placed.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_at"))
-    pos = F.col("_at") + F.row_number().over(Window.partitionBy("_b").orderBy("first_idx")) - 1
-    docs = placed.join(F.broadcast(before), "_b").select("text_id", "copies", "dl", "first_idx", pos.alias("pos"))
-    return {"postings": postings, "docs": docs, "terms": terms, "corpus": corpus}
-
-
 def query_text(lines: Column, dataset: str = "") -> Column:
     """A session as a query: its lines joined, then masked as one string."""
     return mask(F.array_join(lines, "\n"), rules_for(dataset))
 
 
-def bm25_scores(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    """``(query_id, text_id, score)`` of all texts that share a term, repeats of a term counted.
-
-    The work is the postings of the queries' terms: where nearly every text holds a term, as in
-    masked logs, that is nearly every distinct text for each query.
-    """
-    q = queries.select("query_id", F.explode(retrieval_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return q.join(index["postings"], "term").groupBy("query_id", "text_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
-
-
-def retrieve(queries: DataFrame, evidence: DataFrame, index: dict[str, DataFrame], k: int = 5, min_score: float = 0.0, digits: int | None = None) -> DataFrame:
-    """The best ``k`` documents for each query: ``(query_id, rank, evidence_id, session_id, score, text, label)``.
-
-    ``queries(query_id, query, exclude)``; ``exclude`` is an array of session ids or null.  Order:
-    score falling, then ``doc_idx``.  At ``min_score`` 0 or less, a query with too few scored documents is
-    filled with the first ones that score 0.  ``digits`` rounds scores before they are ordered.
-
-    Texts are ranked before documents.  If at most m documents of a query are left out, its best k
-    are among the first k + m documents of its best k + m texts, in the order of first documents.
-    """
-    work = Work(evidence.sparkSession, "retrieve")
-    scores = bm25_scores(queries, index)
-    scores = work.table(scores if digits is None else scores.withColumn("score", F.round("score", digits)), "scores")
-    most = k + max(0, queries.agg(F.max(F.size("exclude"))).first()[0] or 0)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_idx")
-    excluded = queries.select("query_id", F.explode("exclude").alias("session_id")).distinct()
-    ids = evidence.select("evidence_id", "session_id", "doc_idx", F.md5("text").alias("text_id"))
-    copy = F.row_number().over(Window.partitionBy("text_id").orderBy("doc_idx"))
-    few = ids.withColumn("_c", copy).where(F.col("_c") <= most).drop("_c")
-
-    def documents(texts: DataFrame) -> DataFrame:
-        found = texts.join(few, "text_id").join(excluded, ["query_id", "session_id"], "left_anti")
-        found = found.select("query_id", "evidence_id", "doc_idx", "score").withColumn("rank", F.row_number().over(by_query))
-        return found.where(F.col("rank") <= k)
-
-    docs = index["docs"].select("text_id", "first_idx", "pos")
-    by_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_idx")
-    top = scores.where(F.col("score") >= min_score).join(docs, "text_id").withColumn("_r", F.row_number().over(by_first)).where(F.col("_r") <= most)
-    best = work.table(documents(top.select("query_id", "text_id", "score")), "best")
-    if min_score <= 0:
-        have = best.groupBy("query_id").agg(F.count("*").alias("got"), F.min("score").alias("low"))
-        short = work.table(queries.select("query_id").distinct().join(have, "query_id", "left").where(f"coalesce(got, 0) < {k} OR low < 0").select("query_id"), "short")
-        if not short.isEmpty():
-            best = best.unionByName(documents(unscored(short, scores, docs, most))).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return best.drop("doc_idx").join(evidence.select("evidence_id", "session_id", "text", "label"), "evidence_id").select("query_id", "rank", "evidence_id", "session_id", "score", "text", "label")
-
-
-def unscored(queries: DataFrame, scores: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` texts that a query has no score for: ``(query_id, text_id, score 0)``.
-
-    In the order of texts, the place of a scored one less the number of scored ones before it counts
-    the unscored ones before it; so the j-th of these stands at j plus the scored ones with j at most.
-    """
-    own = scores.join(queries, "query_id", "left_semi").select("query_id", "text_id").join(docs, "text_id")
-    gap = F.col("pos") - F.row_number().over(Window.partitionBy("query_id").orderBy("pos")) + 1
-    upto = own.select("query_id", gap.alias("gap")).where(F.col("gap") < n).groupBy("query_id", "gap").agg(F.count("*").alias("c"))
-    pairs = upto.groupBy("query_id").agg(F.collect_list(F.struct("gap", "c")).alias("gaps"))  # at most n
-    passed = lambda j: F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, g: a + F.when(g["gap"] <= j, g["c"]).otherwise(0))
-    places = queries.join(pairs, "query_id", "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<gap bigint, c bigint>>")))
-    places = places.select("query_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: j + passed(j))).alias("pos"))
-    return places.join(docs, "pos").select("query_id", "text_id", F.lit(0.0).alias("score"))
-
-
 def batch_retrieve(sessions: DataFrame, evidence: DataFrame, index: dict[str, DataFrame], k: int = 5, exclude_self: bool = True, dataset: str = "", digits: int | None = None) -> DataFrame:
     own = F.array("session_id") if exclude_self else F.lit(None).cast("array<string>")
     return retrieve(sessions.select(F.col("session_id").alias("query_id"), query_text(F.col("lines"), dataset).alias("query"), own.alias("exclude")), evidence, index, k, digits=digits)

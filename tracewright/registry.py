@@ -387,7 +387,10 @@ def benchmark_hits(spark, d, k=5):
     return E.retrieve(benchmark_queries(spark, d), ev, E.bm25_index(ev), k, digits=6)
 
 
-@query("bm25_terms", f"WITH {DOC_EV}, {bm25_sql('dev')} SELECT term, df, round(idf, 6) AS idf FROM idf")
+#: Each distinct text is cut once; a term counts as often as its texts do.
+@query("bm25_terms", r"""WITH dis AS (SELECT lower(coalesce(text, '')) AS t, count(*) AS copies FROM documents GROUP BY ALL), u AS (SELECT copies, unnest(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) AS term FROM dis),
+dfs AS (SELECT term, sum(copies)::BIGINT AS df FROM u GROUP BY term), c AS (SELECT count(*) AS n FROM documents), rw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, c), m AS (SELECT 0.25::DOUBLE * avg(raw) AS low FROM rw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN low ELSE raw END, 6) AS idf FROM rw, m""")
 def bm25_terms(spark, d):
     return E.bm25_index(document_evidence(spark, d))["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
 

@@ -56,7 +56,7 @@ def save_index(index: dict[str, DataFrame], path: str, buckets: int = 16) -> Non
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "terms", "corpus")}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "terms", "corpus", "members")}
 
 
 def save_records(df: DataFrame, path: str) -> None:
