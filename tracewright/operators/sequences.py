@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import retrieval_tokens
+from ..functions.quantiles import exact_quantiles
+from ..functions.rank import hash_rank
 
 BOS, EOS, FIRST = 1, 2, 3
 
@@ -76,8 +78,28 @@ def clamped(segments: Column, most: int) -> Column:
 def length_profile(tokenized: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: 90 % and 95 % points (linear, cut to whole numbers), longest, mean."""
     n = F.size("input_ids").cast("double")
-    q = F.percentile_approx(n, [0.9, 0.95]) if approximate else F.percentile(n, [0.9, 0.95])
-    return tokenized.agg(q.alias("_q"), F.max(n).cast("int").alias("max_len"), F.avg(n).alias("mean_len")).select(F.get("_q", F.lit(0)).cast("int").alias("p90"), F.get("_q", F.lit(1)).cast("int").alias("p95"), "max_len", "mean_len")
+    facts = tokenized.agg(F.max(n).cast("int").alias("max_len"), F.avg(n).alias("mean_len"), *([F.percentile_approx(n, [0.9, 0.95]).alias("_q")] if approximate else []))
+    if approximate:
+        points = [F.get("_q", F.lit(i)) for i in (0, 1)]
+    else:
+        points = [F.lit(q).cast("double") for q in exact_quantiles(tokenized.select(n.alias("n")), [0.9, 0.95])]
+    return facts.select(points[0].cast("int").alias("p90"), points[1].cast("int").alias("p95"), "max_len", "mean_len")
+
+
+def length_batches(tokenized: DataFrame, key: str = "session_id", budget: int = 16_384, step: int = 64, seed: object = 42) -> DataFrame:
+    """Append ``batch``, ``width`` and ``padded_ids``: rows of like length together, padded to their batch's own longest.
+
+    A row belongs to the range of lengths ``(k - 1) * step + 1 .. k * step``; in a range as many rows make a batch as ``budget`` tokens
+    hold at the range's end, at least one, in the order of a hash.  Rows are numbered by counts of hash ranges, so no window
+    holds a whole range.
+    """
+    n = F.size("input_ids")
+    ranged = tokenized.withColumn("_k", F.greatest(F.ceil(n / step), F.lit(1)).cast("int"))
+    placed = hash_rank(ranged, ["_k"], key, seed, "_rank")
+    each = F.greatest(F.floor(F.lit(budget) / (F.col("_k") * step)), F.lit(1))
+    placed = placed.withColumn("batch", F.concat(F.col("_k").cast("string"), F.lit("_"), F.floor(F.col("_rank") / each).cast("string"))).drop("_k", "_rank")
+    widths = placed.groupBy("batch").agg(F.max(n).alias("width"))
+    return placed.join(widths, "batch").withColumn("padded_ids", padded(F.col("input_ids"), F.col("width")))
 
 
 def max_segments(tokenized: DataFrame) -> DataFrame:

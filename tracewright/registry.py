@@ -144,6 +144,25 @@ def timed(spark, d):
     return W.keyed_sessions(event_lines(spark, d), L.only_key(F.col("line"), USER), F.col("ts")).select("block_id", F.size("lines").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 
 
+_SEG = f"""{LINES}, pl AS (SELECT user_id::VARCHAR AS block_id, line, row_number() OVER (PARTITION BY user_id ORDER BY ts, line_no) - 1 AS place FROM lines),
+sg AS (SELECT block_id, place // 16 AS segment, count(*) AS n_lines, max((line[1] <> '-')::INT) AS label, md5(string_agg(line, chr(10) ORDER BY place)) AS digest FROM pl GROUP BY ALL)"""
+
+
+def user_segments(spark, d) -> DataFrame:
+    return W.segments(W.segmented_sessions(event_lines(spark, d), L.first_key(F.col("line"), USER), F.col("ts"), size=16))
+
+
+@query("session_segments", f"WITH {_SEG} SELECT block_id, segment, n_lines, label, digest FROM sg")
+def session_segments(spark, d):
+    return user_segments(spark, d).select("block_id", "segment", "n_lines", "label", F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query("session_totals", f"""WITH {_SEG}, u1 AS (SELECT block_id, segment // 16 AS i, count(*) AS n_segments, sum(n_lines)::BIGINT AS n_lines, max(label) AS label, CASE WHEN count(*) > 1 THEN md5(string_agg(digest, ',' ORDER BY segment)) ELSE max(digest) END AS digest FROM sg GROUP BY ALL)
+SELECT block_id, sum(n_segments)::BIGINT AS n_segments, sum(n_lines)::BIGINT AS n_lines, max(label) AS label, CASE WHEN count(*) > 1 THEN md5(string_agg(digest, ',' ORDER BY i)) ELSE max(digest) END AS digest FROM u1 GROUP BY block_id""")
+def totals_of_sessions(spark, d):
+    return W.session_totals(user_segments(spark, d), fan=16)
+
+
 @query("labelled_sessions", """SELECT d.doc_id::VARCHAR AS block_id, len(string_split(coalesce(text, ''), chr(10)))::INT AS n_lines, coalesce(CASE WHEN quality = 0 THEN 1 ELSE 0 END, 0) AS label
   FROM documents d LEFT JOIN labels USING (doc_id)""")
 def labelled(spark, d):
@@ -279,6 +298,14 @@ def length_profile(spark, d):
     return Q.length_profile(t).withColumn("mean_len", F.round("mean_len", 6)).crossJoin(Q.max_segments(t))
 
 
+@query("length_batches", f"""WITH {windows_sql(10, 10)}, {TOKENIZED}, k AS (SELECT session_id, len(ids) AS n, greatest(ceil(len(ids) / 8.0), 1)::INT AS k FROM seq),
+r AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY md5('42|' || session_id), session_id) - 1) // greatest(2048 // (k * 8), 1) AS b FROM k)
+SELECT session_id, k::VARCHAR || '_' || b::VARCHAR AS batch, max(n) OVER (PARTITION BY k, b)::INT AS width, (max(n) OVER (PARTITION BY k, b) - n)::INT AS padding FROM r""")
+def length_batches(spark, d):
+    t = Q.length_batches(Q.with_ids(windows(spark, d), 1000), budget=2048, step=8)
+    return t.select("session_id", "batch", "width", (F.size("padded_ids") - F.size("input_ids")).alias("padding"))
+
+
 @query("vocabulary", f"WITH {windows_sql(10, 10)}, t AS (SELECT unnest(list_filter(regexp_split_to_array(lower(array_to_string(ls, ' ')), '\\s+'), lambda t: t <> '')) AS term FROM win), c AS (SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 500) SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 2)::INT AS id FROM c")
 def vocabulary(spark, d):
     return Q.vocabulary(windows(spark, d), 500)
