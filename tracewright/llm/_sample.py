@@ -2,7 +2,7 @@
 
 The bounds are on rows and on bytes: ids are chosen first (those of the least hashes), their texts are written
 once, and sizes alone decide how many of them a class may bring, so that what one task is given is
-bounded before any text moves to it.  A single text beyond ``text_bytes`` is left out of the fit.
+bounded before any text moves to it.  Texts are taken whole; one that alone is larger than the whole sample cannot be taken.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._work import Work
 
 
-def labelled_sample(work: Work, documents: DataFrame, labels: DataFrame, rows: int, sample_bytes: int, text_bytes: int = 1 << 20, by_class: bool = False) -> DataFrame:
+def labelled_sample(work: Work, documents: DataFrame, labels: DataFrame, rows: int, sample_bytes: int, by_class: bool = False) -> DataFrame:
     """``(doc_id, label, text, o)`` of at most ``rows`` ids and ``sample_bytes`` of text in all, or, with
     ``by_class``, of either label 0 and 1.  ``o`` is a hash to order by.
 
@@ -23,7 +23,7 @@ def labelled_sample(work: Work, documents: DataFrame, labels: DataFrame, rows: i
     least = lambda df: df.orderBy("o", "doc_id").limit(rows)
     chosen = least(own.where("label = 0")).unionByName(least(own.where("label = 1"))) if by_class else least(own)
     text = F.coalesce("text", F.lit(""))
-    found = documents.select("doc_id", text.alias("text")).where(F.octet_length("text") <= text_bytes).join(F.broadcast(chosen), "doc_id")
+    found = documents.select("doc_id", text.alias("text")).where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")
     found = work.table(found.groupBy("doc_id", "label", "o").agg(F.min("text").alias("text")), "sample")
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label" if by_class else F.lit(0)).orderBy("o", "doc_id"))
     fits = found.select("doc_id", upto.alias("_upto")).where(F.col("_upto") <= sample_bytes).select("doc_id")

@@ -8,7 +8,7 @@ dictionaries have not seen turns the difference into a probability.
 The fit takes at most ``per_class`` labelled rows of each class (those of the least hashes) and
 ``train_bytes`` of text of each (see ``_sample``), so one task can hold it.  Scoring has no shuffle.
 Settings were chosen inside the training fold (rows whose crc32 / 5 leaves 0 modulo 4 against the
-others): raw cuts against trained dictionaries, level and size, by the bad texts found.
+others): raw cuts against trained dictionaries, their length, level and size, by the bad texts found.
 
 Defined results: null counts as the empty text; an empty text scores as the curve says for no
 difference; an empty table gives no rows; repeated rows score alike; several labels of one id count
@@ -38,8 +38,9 @@ from .toxicity import held_out
 
 @dataclass(frozen=True)
 class CompressionParams:
-    dict_bytes: int = 512 << 10
-    level: int = 9
+    dict_bytes: int = 1 << 20
+    piece_bytes: int = 500
+    level: int = 6
     per_class: int = 5_000
     train_bytes: int = 32 << 20
     bin_rows: int = 5
@@ -77,10 +78,18 @@ def _sizes(good: bytes, bad: bytes, level: int) -> _Sizes:
     return _Sizes(good, bad, level)
 
 
-def dictionary(texts: list[bytes], size: int) -> bytes:
-    """The first bytes of each text, as many as make ``size`` in all and 200 at least."""
-    cut = max(200, size // max(1, len(texts)))
-    return b"".join(t[:cut] for t in texts)[:size]
+def dictionary(texts: list[bytes], size: int, piece: int = 500) -> bytes:
+    """Pieces of each text, spread evenly over the whole of it, as many bytes as make ``size`` in all and 200 at least."""
+    cut, out = max(200, size // max(1, len(texts))), []
+    for t in texts:
+        if len(t) <= cut:
+            out.append(t)
+        else:
+            width = min(piece, cut)
+            n = cut // width
+            starts = [round(i * (len(t) - width) / (n - 1)) for i in range(n)] if n > 1 else [(len(t) - width) // 2]
+            out += [t[i : i + width] for i in starts]
+    return b"".join(out)[:size]
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, bin_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +115,7 @@ def _train(texts: list[bytes], y: np.ndarray, share: float, p: CompressionParams
         own = own[::2] if len(own) > 1 else own
         if not own:
             return flat
-        dictionaries.append(dictionary(own, p.dict_bytes))
+        dictionaries.append(dictionary(own, p.dict_bytes, p.piece_bytes))
     sizes = _Sizes(*dictionaries, p.level)
     rest = []
     for label in (1, 0):
