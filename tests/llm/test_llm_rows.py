@@ -404,12 +404,14 @@ def test_quality_by_direct_compression(spark):
     model = quality_model.fit(docs, labels.selectExpr("doc_id", "quality AS label"))
     rows = docs.withColumn("_o", F.xxhash64("doc_id")).join(labels, "doc_id").orderBy("_o").collect()
     own = {k: [r.text.encode() for r in rows if r.quality == k][::2] for k in (0, 1)}
-    assert (model.good, model.bad) == tuple(b"".join(t[: max(200, (512 << 10) // len(own[k]))] for t in own[k])[: 512 << 10] for k in (1, 0))
+    p = quality_model.CompressionParams()
+    assert all(len(t) <= p.dict_bytes // len(own[k]) for k in own for t in own[k])  # so all of them are whole
+    assert (model.good, model.bad) == tuple(b"".join(own[k])[: p.dict_bytes] for k in (1, 0))
 
     def size(content, text):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=9)
-        return len(zstandard.ZstdCompressor(level=9, dict_data=d).compress(text))
+        d.precompute_compress(level=p.level)
+        return len(zstandard.ZstdCompressor(level=p.level, dict_data=d).compress(text))
 
     for r in quality_model.score(docs, model).orderBy("doc_id").limit(50).collect():
         t = r.text.encode()
@@ -418,6 +420,16 @@ def test_quality_by_direct_compression(spark):
     assert list(model.y) == sorted(model.y) and 0 < min(model.y) and max(model.y) < 1
 
 
+def test_dictionaries_hold_pieces_of_whole_texts():
+    long = "".join(f"{i:06d}." for i in range(10_000)).encode()
+    got = quality_model.dictionary([b"short", long], 4000, 500)
+    assert got.startswith(b"short") and len(got) == 5 + 2000
+    pieces = [got[i : i + 500] for i in range(5, len(got), 500)]
+    assert [long.index(x) for x in pieces] == [0, 23167, 46333, 69500]
+    assert quality_model.dictionary([long] * 50, 1000, 500) == long[34900:35100] * 5
+    assert quality_model.dictionary([], 1000) == b""
+
+
 def test_samples_are_bounded_by_bytes(spark):
     from tracewright.llm._sample import labelled_sample
     from tracewright.llm._work import Work
@@ -426,7 +438,7 @@ def test_samples_are_bounded_by_bytes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 4 // 3) for i in range(400)] + [(7, None), (7, 0), (None, 1), (999, 1)], "doc_id long, label int")
     for by_class in (False, True):
-        got = labelled_sample(Work(spark, "t"), docs, labels, 90, 5_000, 5_000, by_class).collect()
+        got = labelled_sample(Work(spark, "t"), docs, labels, 90, 5_000, by_class).collect()
         size = {k: sum(len(r.text) for r in got if r.label == k) for k in (0, 1)}
         assert all(r.doc_id % 50 for r in got) and len({r.doc_id for r in got}) == len(got)
         assert all(4_900 <= s <= 5_000 for s in size.values()) if by_class else 4_900 <= sum(size.values()) <= 5_000
