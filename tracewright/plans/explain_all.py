@@ -14,6 +14,7 @@ from ..operators.splits import stratified_split
 from ..operators.verify import verify
 from ..sources.logs import append_metrics, save_records
 from ..sources.scratch import Work
+from .runs import Run
 
 
 def load_sessions(lines: DataFrame, dataset: str, labels: DataFrame | None = None, size: int = 10, step: int = 10, seed: object = 42) -> DataFrame:
@@ -63,6 +64,14 @@ def save_results(finished: DataFrame, scores: DataFrame, path: str, config: dict
     append_metrics(report.select("*", *[F.lit(v).alias(k) for k, v in (config or {}).items()]), f"{path}/metrics")
 
 
+def explain_in_batches(prepared: DataFrame, responses: DataFrame, path: str, batches: int = 16) -> Run:
+    """``finish_explanations`` batch by batch, with records in ``path``; started again, it does the batches that are left."""
+    run = Run(prepared.sparkSession, path)
+    answered = prepared.join(responses.where("error IS NULL").select("session_id"), "session_id", "left_semi")
+    run.resume(answered, "session_id", lambda own: records(finish_explanations(own, responses.join(own.select("session_id"), "session_id", "left_semi"))), batches)
+    return run
+
+
 def records(finished: DataFrame) -> DataFrame:
     """The result record of each explained session."""
     answers = finished.select("session_id", "explanation", "total_tokens", "latency_ms")

@@ -808,6 +808,51 @@ def fused_hits(spark, d):
     return E.fuse([hits, hits.where("rank <= 3").withColumn("rank", 6 - F.col("rank"))]).withColumn("score", F.round("score", 9))
 
 
+# ---------------------------------------------------------------- runs and sweeps
+
+
+@query("resumed_run", f"WITH {windows_sql(10, 10)}, {SCORED} SELECT session_id, 1::BIGINT AS records, 'anomaly' AS prediction FROM sc WHERE pred = 1 AND start_idx % 13 <> 0")
+def resumed_run(spark, d):
+    """Records of a run that was stopped after the first half of its sessions, and started again."""
+    path = _path(spark, "run")
+    work = Work(spark, "prepared")
+    prepared = work.table(X.prompts(flagged_records(spark, d).where("pred = 1")), "prompts")
+    given = work.table(answers(spark, d).withColumn("error", F.when(F.col("start_idx") % 13 == 0, "timeout")), "answers")
+    half = prepared.where(F.xxhash64("session_id") < 0)
+    A.explain_in_batches(half, given, path, 2)
+    run = A.explain_in_batches(prepared, given, path, 2)
+    got = run.records("session_id string, explanation struct<prediction string>")
+    return got.groupBy("session_id").agg(F.count("*").alias("records"), F.max("explanation.prediction").alias("prediction"))
+
+
+def labelled_parts(spark, d) -> list[DataFrame]:
+    s = W.with_labels(document_sessions(spark, d), quality_labels(spark, d)).withColumnRenamed("block_id", "session_id")
+    s = Work(spark, "labelled").table(P.stratified_split(s), "sessions")
+    return [P.oversampled(P.in_split(s, "train")).drop("draw"), P.in_split(s, "val"), P.in_split(s, "test")]
+
+
+@query("sweep_report")
+def sweep_report(spark, d):
+    """A sweep over the number of features, as a CSV file that is read again."""
+    path = _path(spark, "sweep")
+    O.save_report(S.sweep(*labelled_parts(spark, d), [1 << 10, 1 << 12, 1 << 14], patience=1), path)
+    return spark.read.csv(path, header=True, schema="k int, macro_f1 double, test_acc double")
+
+
+@query("classifier_agreement", """WITH win AS (SELECT d.doc_id::VARCHAR AS session_id, coalesce(CASE WHEN quality = 0 THEN 1 ELSE 0 END, 0) AS label FROM documents d LEFT JOIN labels USING (doc_id)), """ + SPLIT + """
+SELECT count(*) AS sessions, count(*) AS proper, count(*) AS agreeing FROM spl WHERE split = 'test'""")
+def classifier_agreement(spark, d):
+    """Of the held-out sessions, those with probabilities that add up to 1, and those that a single prediction agrees on."""
+    train, val, test = labelled_parts(spark, d)
+    m = S.fit_classifier(train, val, features=1 << 12, reg=(0.01,))
+    scored = S.score_sessions(m, test)
+    single = S.score_one(m, test).select("session_id", F.col("prediction").alias("_p"), F.col("anomaly_prob").alias("_a"), "normal_prob")
+    both = scored.join(single, "session_id")
+    name = F.when(F.col("pred") == 1, "Anomalous").otherwise("Normal")
+    sums = F.abs(F.col("normal_prob") + F.col("_a") - 1) < 1e-9
+    return both.agg(F.count("*").alias("sessions"), F.count_if(sums & F.col("_a").between(0, 1)).alias("proper"), F.count_if((name == F.col("_p")) & (F.col("anomaly_prob") == F.col("_a"))).alias("agreeing"))
+
+
 # ---------------------------------------------------------------- vectors
 
 
