@@ -51,6 +51,17 @@ def test_files_round_trip(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_the_last_label_counts(spark, tmp_path):
+    """Keys come again in later blocks of a file, and in a later file that is smaller and so may be read first."""
+    rows = [(f"b{i % 300}", f"L{i}") for i in range(1500)]
+    (tmp_path / "a.csv").write_text("BlockId,Label\n" + "".join(f"{k},{v}\n" for k, v in rows))
+    (tmp_path / "b.csv").write_text("BlockId,Label\nb7,late\n,none\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    got = {r.block_id: r.label for r in logs.read_labels(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")]).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(rows) | {"b7": "late"}
+
+
 def test_padding(spark):
     df = spark.createDataFrame([([1, 2],), ([1, 2, 3, 4, 5],), ([],)], "x array<int>")
     assert [r[0] for r in df.select(padded(F.col("x"), 4)).collect()] == [[1, 2, 0, 0], [1, 2, 3, 4], [0, 0, 0, 0]]

@@ -27,10 +27,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.join(starts, ["file", "_block"]).select("file", (F.col("_start") + place).alias("line_no"), "line")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``(block_id, label)`` of a headed CSV file; of repeated keys the last row counts."""
-    rows = spark.read.csv(path, header=True, schema="BlockId string, Label string").withColumn("_at", F.monotonically_increasing_id())
-    return rows.where("BlockId IS NOT NULL").groupBy(F.col("BlockId").alias("block_id")).agg(F.max_by("Label", "_at").alias("label"))
+def read_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(block_id, label)`` of headed CSV files; of repeated keys the last row of the last file by name counts."""
+    rows = spark.read.csv(path, header=True, schema="BlockId string, Label string")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("BlockId", "Label", at.alias("_at")).where("BlockId IS NOT NULL")
+    return rows.groupBy(F.col("BlockId").alias("block_id")).agg(F.max_by("Label", "_at").alias("label"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
