@@ -112,6 +112,8 @@ def dense_retrieve(queries: DataFrame, index: DenseIndex, k: int = 5, probes: in
     excluded = queries.select("query_id", F.explode("exclude").alias("session_id")).distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_idx")
     kept = hits.join(excluded, ["query_id", "session_id"], "left_anti").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    kept = work.table(kept, "kept")
+    work.keep(kept)
     return kept.select("query_id", "rank", "evidence_id", "session_id", "score")
 
 
