@@ -98,6 +98,9 @@ def dense_index(vectors: DataFrame, cells: int = 256, block: int = 8192, sample:
 
 def dense_retrieve(queries: DataFrame, index: DenseIndex, k: int = 5, probes: int = 8, exact: bool = True, min_score: float | None = None, digits: int = 6, chunk: int = 16_384) -> DataFrame:
     """``(query_id, rank, evidence_id, score)`` of the best ``k`` rows for ``queries(query_id, vector, exclude)``; ``exclude`` is an array of session ids or null."""
+    if not index.blocks.sum():
+        kinds = dict(queries.dtypes) | dict(index.rows.dtypes)
+        return queries.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, rank int, evidence_id {kinds['evidence_id']}, session_id {kinds['session_id']}, score double")
     work = Work(queries.sparkSession, "dense")
     most = k + max(0, queries.agg(F.max(F.size("exclude"))).first()[0] or 0)
     asked = queries.select("query_id", unit(F.col("vector")).alias("vector")).where("vector IS NOT NULL").withColumn("floor", F.lit(-2.0))
