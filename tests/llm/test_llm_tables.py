@@ -4,7 +4,7 @@ import random
 import re
 
 import numpy as np
-
+from pyspark.sql import functions as F
 
 from tracewright.llm import chat, decontaminate, html_text, minhash
 
@@ -203,6 +203,27 @@ def test_decontamination_has_no_hot_key(spark):
     assert len(got) == 200 and {(r.n_words, r.n_hit, tuple(r["items"])) for r in got} == {(12, 3, ("9",))}
 
 
+def test_decontamination_spreads_hot_grams(spark):
+    """A passage of a third of the documents beyond the broadcast bound: no part of its grams is large."""
+    shared = " ".join(f"s{i}" for i in range(14))
+    docs = [(i, " ".join(f"d{i}x{j}" for j in range(30)) + (f" {shared}" if i % 3 == 0 else "")) for i in range(300)]
+    items = [(1, shared), (2, shared + " more"), (3, " ".join(f"d5x{j}" for j in range(12))), (4, "s3 s4 s5")]
+    ds, bs = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.fingerprints(decontaminate.hashed_words(ds, F.col("doc_id"), F.lit(0).alias("same")), "doc_id", "same").select("doc_id", "same", F.inline_outer("fps"))
+    rows = rows.where("gram IS NOT NULL")
+    counts = {r.gram: r["count"] for r in rows.groupBy("gram").count().collect()}
+    hot = decontaminate.hot_grams(rows, 0.01)
+    assert set(hot) == {g for g, n in counts.items() if n >= 0.01 * sum(counts.values())} != set()
+    prints = rows.where("doc_id = 0").select("gram", "n", F.lit("1").alias("item")).distinct()
+    left, right = decontaminate._spread(rows, prints, hot)
+    sizes = left.where(F.col("gram").isin(hot)).groupBy("gram", "part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 12  # of 100
+    assert right.where(F.col("gram").isin(hot)).count() == decontaminate.PARTS * prints.where(F.col("gram").isin(hot)).count()
+    want = by_hand(docs, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.hits(ds, bs, 0).collect()} == want
+    assert decontaminate.hot_grams(rows.limit(0)) == []
+
+
 def test_decontamination_of_a_long_text(spark):
     body = [f"w{i}" for i in range(60_000)]
     df = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(body[:50]))], "doc_id long, text string")

@@ -8,8 +8,11 @@ fingerprint carries the word hashes around it.  Fingerprints are joined, and a m
 it hits where one of the six windows that hold the fingerprint has equal words on both sides.
 Items of fewer than 10 words are one window and are met by grams of their own length.
 
-Each document is read once and no text is shuffled.  The item side is broadcast only if it has
-at most ``small`` fingerprints; otherwise Spark shuffles both sides.  Words are compared by
+No text is shuffled.  The item side is broadcast only if it has at most ``small`` fingerprints, and
+each document is then read once.  Otherwise both sides are shuffled, and a first pass over the
+documents finds the grams that hold a large share of their fingerprints (``hot_grams``, at most 1,000):
+their entries are spread over 64 parts by document, and the items' entries of these grams are repeated
+for each part.  Which grams are found changes the plan's balance and no result.  Words are compared by
 64-bit hashes.
 
 Defined results: a null or empty text has no words and no hits; items without words are never met;
@@ -21,6 +24,8 @@ whatever their names, and kept by ``decontaminate``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,10 @@ GRAM = 5
 GRAMS = WINDOW - GRAM + 1
 #: The most benchmark fingerprints that are broadcast.
 SMALL = 500_000
+#: A gram with about this share of all document fingerprints is spread; so there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+#: Parts over which a hot gram is spread.
+PARTS = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,7 +70,9 @@ def fingerprints(hashed: DataFrame, *keep: str) -> DataFrame:
     chosen = lambda x, i: F.greatest(*[F.get(m, i - j) for j in range(GRAMS)]) == x
     picked = F.filter(F.transform(g, lambda x, i: F.when(chosen(x, i), F.struct(i.alias("at"), x.alias("gram")))), lambda x: x.isNotNull())
     staged = staged.select(*keep, "h", picked.alias("picked"))
-    around = lambda at: F.transform(F.sequence(at - (GRAMS - 1), at + (WINDOW - 1)), lambda k: F.get("h", k))
+    nulls = lambda n: F.array_repeat(F.lit(None).cast("bigint"), n)
+    staged = staged.select(*keep, "h", "picked", F.concat(nulls(GRAMS - 1), "h", nulls(WINDOW - 1)).alias("padded"))
+    around = lambda at: F.slice("padded", at + 1, GRAMS + WINDOW - 1)
     return staged.select(*keep, "h", F.transform("picked", lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.lit(WINDOW).alias("n"), around(x["at"]).alias("around"))).alias("fps"))
 
 
@@ -71,6 +82,24 @@ def short_grams(n: int) -> Column:
     return F.transform(_grams("h", n), lambda x, i: F.struct(i.alias("at"), x.alias("gram"), F.lit(n).alias("n"), none.alias("around")))
 
 
+def hot_grams(rows: DataFrame, share: float = HOT_SHARE) -> list[int]:
+    """Grams that hold about ``share`` of ``rows`` or more, by a summary of fixed size in each task."""
+    most = math.ceil(1 / share)
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(gram, {most}, {10 * most})").alias("top"))
+    near = found.select("n", F.explode("top").alias("x")).where(F.col("x.count") >= share * F.col("n"))
+    return sorted(r[0] for r in near.select("x.item").where("item IS NOT NULL").collect())
+
+
+def _spread(rows: DataFrame, prints: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part``, by which entries of hot grams meet in ``PARTS`` parts, and others in one."""
+    known = F.broadcast(rows.sparkSession.createDataFrame([(g,) for g in hot], "hot bigint"))
+    marked = lambda df: df.join(known, F.col("gram") == F.col("hot"), "left")
+    is_hot = F.col("hot").isNotNull()
+    part = F.when(is_hot, F.pmod(F.xxhash64("doc_id", "same", "at"), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    return marked(rows).withColumn("part", part).drop("hot"), marked(prints).withColumn("part", parts).drop("hot")
+
+
 def hits(documents: DataFrame, benchmark: DataFrame, small: int = SMALL) -> DataFrame:
     """One row for each document row, with what it shares with the items of ``benchmark``.
 
@@ -93,8 +122,13 @@ def hits(documents: DataFrame, benchmark: DataFrame, small: int = SMALL) -> Data
     lone = F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64("doc_id", "same").alias("gram"), F.lit(-1).alias("n"), F.lit(None).cast("array<bigint>").alias("around")))
     entries = fingerprints(docs, *keys).select(*keys, F.concat(lone, "fps", *map(short_grams, short)).alias("e"))
     rows = entries.select(*keys, F.inline_outer("e").alias("at", "gram", "n", "around"))
-    prints = F.broadcast(prints) if prints.count() <= small else prints
-    met = rows.join(prints, ["gram", "n"], "left").where("at < 0 OR item IS NOT NULL")
+    on = ["gram", "n"]
+    if prints.count() <= small:
+        prints = F.broadcast(prints)
+    elif hot := hot_grams(rows):
+        rows, prints = _spread(rows, prints, hot)
+        on.append("part")
+    met = rows.join(prints, on, "left").where("at < 0 OR item IS NOT NULL")
     # a window is hit where its ten words are equal on both sides; it starts j words before the fingerprint
     first = lambda j: GRAMS - 1 - j
     window = lambda c, j: F.slice(c, first(j) + 1, WINDOW)
