@@ -171,6 +171,31 @@ def test_hosts_of_several_sections(spark):
     assert H.sections(df, H.HtmlParams(section_bytes=20_000, section_pages=9)).select("section").distinct().count() > 3
 
 
+@pytest.mark.parametrize("seed", [31, 32])
+def test_sections_change_no_result(spark, seed):
+    """Counts are of the host, also for substrings on one page of each section, copies with other tags, notices and doubtful blocks."""
+    rng = random.Random(seed)
+    notice, doubt = " ".join(f"seen{i}" for i in range(12)), " ".join(f"maybe{i}" for i in range(9))
+    pages = [x for _ in range(2) for x in site(rng)]
+    own = lambda n: " ".join(f"y{rng.randint(0, 10**6)}" for _ in range(n))
+    pages += [f"<article><p>{own(30)}</p><p>{notice}</p></article>" for _ in range(120)]
+    pages += [f"<article><p>{own(30)}</p><div class='my-share'>{x}</div></article>" for x in (doubt, doubt, own(9), "one two", "one two", own(2))]
+    pages += [x.replace("<p>", f"<p title='{k}'>") for k, x in enumerate(pages[:12])]
+    df = spark.createDataFrame([(k, "http://hot.com", x) for k, x in enumerate(pages)] + [(-1, "http://other.com", pages[0])], "page_id long, url string, html string").repartition(3)
+    small = [H.HtmlParams(section_bytes=1500, section_pages=3), H.HtmlParams(section_bytes=6000, section_pages=10, small=0)]
+    want = {**dict(enumerate(by_hand(pages, H.HtmlParams()))), -1: by_hand(pages[:1], H.HtmlParams())[0]}
+    for p in (H.HtmlParams(), *small):
+        assert {r.page_id: r.text for r in H.extract(df, p).collect()} == want
+    assert [H.sections(df, p).where("page_id >= 0").select("section").distinct().count() > 5 for p in small] == [True, True]
+    assert not any(notice in t for t in want.values()) and sum(doubt in t for t in want.values()) == 0
+
+
+def test_every_page_asks(spark, monkeypatch):
+    """A full filter lets all substrings pass; results stay."""
+    monkeypatch.setattr(H, "asked", lambda s, p: np.arange(1 << H._FILTER, dtype=np.uint64) << np.uint64(64 - H._FILTER))
+    test_sections_change_no_result(spark, 33)
+
+
 def test_odd_pages(spark):
     schema = "page_id long, url string, html string"
     assert H.extract(spark.createDataFrame([], schema)).count() == 0

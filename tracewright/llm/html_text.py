@@ -27,8 +27,15 @@ greater length cover is covered by these.)
   take half of the page's main tokens: then pages are copies, and copies keep their text.
 
 Hosts of more than ``section_bytes`` of html have as many sections as they need, of about
-``section_pages`` pages at least, and their pages are dealt by their html, so that copies meet; a host's repeats are then counted in
-each section.  So no host is too large for a task, and no table of suffixes is shuffled: pages move once, by (host, section).
+``section_pages`` pages at least, and their pages are dealt by their streams, so that copies meet.  Counts are of the whole host,
+into however many sections it is cut; sections only send each other what can change a block:
+
+* A section asks for the substrings over loose text of its unmarked pages and over doubtful blocks, and, over main blocks, for those on ``main_share`` of its
+  own pages (what stands on that share of a host's pages does so in one of its sections at least).  Asked substrings are bits of one filter for each host.
+* Every section counts its own pages for what passes its host's filter.  These counts are summed by Spark, and the sums go back to the sections that count on them.
+
+So no host is too large for a task: pages move once, by (host, section), and of substrings those that are asked for.  On a large host without any
+marks all are, and each distinct one of a section is then a row.  Substrings are compared by 64-bit hashes between sections.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by one newline.
@@ -50,14 +57,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrow import bounded_batches
-from ._text import span_hashes, spans, text_slices
+from ._text import gram_hashes, signed, span_hashes, spans, text_slices
+from ._work import Work
 
 CHROME, LOOSE, MAIN, DOUBT = 0, 1, 2, 3
 
+#: Bits of a host's filter, as a power of two, and of one of its rows (4 kB).  A full filter lets everything pass.
+_FILTER, _ROW = 19, 15
+
 #: Elements whose content is no text of the page; it ends at the first end tag of that name.
 _RAW = frozenset("script style noscript template svg iframe object canvas math title textarea select button audio video".split())
 _RAW_END = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in _RAW}
@@ -282,8 +293,29 @@ def counts_of(on: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def section_texts(bodies: list[str], marks: list[bytes], p: HtmlParams) -> list[str]:
-    """The main text of each page of a section; ``bodies`` are its blocks, one in a line, ``marks`` their zones."""
+@dataclass(frozen=True)
+class Streams:
+    """A section's distinct pages one after the other: ``tokens`` with their ``block`` and ``page``, ``zone`` of each block, ``starts`` of each page and the last one's end."""
+
+    rows: list[int]  # the stream of each row
+    pages: list[tuple[str, bytes]]
+    tokens: np.ndarray
+    block: np.ndarray
+    page: np.ndarray
+    zone: np.ndarray
+    starts: np.ndarray
+
+    @property
+    def distinct(self) -> int:
+        return int((np.diff(self.starts) > 0).sum())
+
+    def marked(self) -> np.ndarray:
+        """For each page, whether it has main or doubtful blocks."""
+        return np.bincount(self.page, np.isin(self.zone[self.block], (MAIN, DOUBT)), len(self.pages)) > 0
+
+
+def streams_of(bodies: list[str], marks: list[bytes]) -> Streams:
+    """``bodies`` are the pages' blocks, one in a line, ``marks`` their zones."""
     first: dict[tuple[str, bytes], int] = {}
     which = [first.setdefault(x, len(first)) for x in zip(bodies, marks, strict=True)]
     streams = list(first)
@@ -304,22 +336,65 @@ def section_texts(bodies: list[str], marks: list[bytes], p: HtmlParams) -> list[
     block = np.concatenate([*blocks, np.zeros(0, np.int64)])
     page = np.repeat(np.arange(len(streams)), size)
     zone = np.frombuffer(b"".join(m for _, m in streams), np.uint8)
-    kind, length = zone[block], np.bincount(block, minlength=len(zone))
-    starts = np.concatenate([[0], np.cumsum(size)])
+    return Streams(which, streams, tokens, block, page, zone, np.concatenate([[0], np.cumsum(size)]))
+
+
+def grams_of(s: Streams, depth: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, place, pages)`` of the section's substrings of ``depth`` tokens, or of ``only`` those with this bit of the filter."""
+    h, at = gram_hashes(s.tokens, s.starts, depth)
+    if only is not None:
+        met = only[h >> np.uint64(64 - _FILTER)]
+        h, at = h[met], at[met]
+    rank = np.full(len(s.tokens), -1)
+    rank[at] = np.unique(h, return_inverse=True)[1]
+    return h, at, pages_with(rank, at[np.argsort(rank[at], kind="stable")], s.page)[at]
+
+
+def asked(s: Streams, p: HtmlParams) -> np.ndarray:
+    """Hashes of the substrings whose pages in other sections can change one of these blocks."""
+    kind = s.zone[s.block]
+    unsure, main = (kind == DOUBT) | (kind == LOOSE) & ~s.marked()[s.page], kind == MAIN
+    out = [np.zeros(0, np.uint64)]
+    unsure, main = (np.concatenate([[0], np.cumsum(x)]) for x in (unsure, main))
+    for depth in {p.run, p.edge} if unsure[-1] else {p.run}:
+        h, at, on = grams_of(s, depth)
+        need = unsure[at + depth] > unsure[at]
+        if depth == p.run:
+            need |= (main[at + depth] > main[at]) & (on + 1e-6 >= p.main_share * s.distinct)
+        else:  # whether they stand on two pages is all that counts
+            need &= on < 2
+        out.append(h[need])
+    return np.concatenate(out)
+
+
+def section_texts(bodies: list[str], marks: list[bytes], p: HtmlParams, sums: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[str]:
+    """The main text of each page of a section; ``bodies`` are its blocks, one in a line, ``marks`` their zones.
+
+    ``sums``, of a host with several sections: hashes in order, their pages in all sections, and the host's distinct pages.
+    """
+    s = streams_of(bodies, marks)
+    which, streams, tokens, block, page, zone, starts = s.rows, s.pages, s.tokens, s.block, s.page, s.zone, s.starts
+    size, kind, length = np.diff(starts), zone[block], np.bincount(block, minlength=len(zone))
     counts, ends, known = {}, np.repeat(starts[1:], size), None
     for depth in sorted({p.run, p.edge}):
         known = prefix_ranks(tokens, depth, known), depth
         order, rank = suffix_array(tokens, ends, *known[::-1])
-        counts[depth] = counts_of(pages_with(rank, order, page), depth)
+        on = pages_with(rank, order, page)
+        if sums is not None and len(sums[0]):
+            h, at = gram_hashes(tokens, starts, depth)
+            k = np.minimum(np.searchsorted(sums[0], h), len(sums[0]) - 1)
+            met = sums[0][k] == h
+            on[at[met]] = sums[1][k[met]]
+        counts[depth] = counts_of(on, depth)
     count, at_edge = counts[p.run], counts[p.edge]
-    distinct = int((size > 0).sum())
+    distinct = s.distinct if sums is None else sums[2]
 
     per_page = lambda mask: np.bincount(page, mask, len(streams))
     per_block = lambda mask: np.bincount(block, mask, len(zone))
     enough = lambda mask: per_block(mask) >= np.maximum(1, p.block_share * length)
     of_page = np.repeat(np.arange(len(streams)), [len(m) for _, m in streams])  # of blocks
 
-    marked = per_page((kind == MAIN) | (kind == DOUBT)) > 0
+    marked = s.marked()
     loose = (kind == LOOSE) & ~marked[page]
     usual = np.ones(len(streams), np.int64)  # the count of a page's own text
     anchors = per_block(loose & (count <= 1)) >= p.anchor
@@ -356,7 +431,7 @@ def section_texts(bodies: list[str], marks: list[bytes], p: HtmlParams) -> list[
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, host, bytes, body, marks)``: every page is scanned here, once."""
+    """``(page_id, url, host, section, body, marks)``: every page is scanned here, once; ``parts`` are the sections of its host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -365,32 +440,96 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 found = [zones(page.as_py() or "") for page in b.column("html")]
                 body = pa.array(["\n".join(t for _, t in f) for f in found], pa.string())
                 marks = pa.array([bytes(z for z, _ in f) for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "section")), body, marks], names=["page_id", "url", "host", "section", "body", "marks"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "parts")), body, marks], names=["page_id", "url", "host", "parts", "body", "marks"])
 
     kinds = dict(pages.dtypes)
-    return pages.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host long, section int, body string, marks binary")
+    rows = pages.select("page_id", "url", "host", "parts", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url string, host long, parts int, body string, marks binary")
+    section = F.pmod(F.xxhash64("body", "marks", F.lit(5)), F.col("parts")).cast("int")
+    return rows.select("page_id", "url", "host", section.alias("section"), "body", "marks")
 
 
-def sections(pages: DataFrame, p: HtmlParams) -> DataFrame:
-    """``(page_id, url, html, host, section)``; most hosts have one section."""
+def _hosts(pages: DataFrame, p: HtmlParams) -> tuple[DataFrame, DataFrame]:
+    """The pages with their host, and ``(host, parts)`` of the hosts that have several sections."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", F.xxhash64(host_of("url")))
     size = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("_b"), F.count("*").alias("_p"))
-    large = size.select("host", F.least(F.ceil(F.col("_b") / p.section_bytes), F.floor(F.col("_p") / p.section_pages)).cast("int").alias("_n")).where("_n > 1")
-    dealt = rows.join(F.broadcast(large) if large.count() <= p.small else large, "host", "left")
-    return dealt.withColumn("section", F.when(F.col("_n") > 1, F.pmod(F.xxhash64(F.col("html"), F.lit(5)), F.col("_n"))).otherwise(0).cast("int")).drop("_n")
+    return rows, size.select("host", F.least(F.ceil(F.col("_b") / p.section_bytes), F.floor(F.col("_p") / p.section_pages)).cast("int").alias("parts")).where("parts > 1")
+
+
+def _small(large: DataFrame, p: HtmlParams) -> DataFrame:
+    return F.broadcast(large) if large.count() <= p.small else large
+
+
+def sections(pages: DataFrame, p: HtmlParams) -> DataFrame:
+    """``(page_id, url, host, section, body, marks)``; most hosts have one section."""
+    rows, large = _hosts(pages, p)
+    return _parsed(rows.join(_small(large, p), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+
+
+def _sums(pages: DataFrame, large: DataFrame, p: HtmlParams) -> DataFrame:
+    """``(host, section, gram, total)``: a host's pages with each gram that it asks for, for the sections that have it; gram null: its distinct pages."""
+
+    def streams(table: pa.Table) -> Streams:
+        return streams_of(table.column("body").to_pylist(), table.column("marks").to_pylist())
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _FILTER, bool)
+        bits[asked(streams(table), p) >> np.uint64(64 - _FILTER)] = True
+        rows = bits.reshape(-1, 1 << _ROW)
+        some = np.flatnonzero(rows.any(1))
+        return pa.table({"host": pa.array([key[0].as_py()] * len(some), pa.int64()), "k": pa.array(some, pa.int32()), "bits": pa.array([np.packbits(rows[k]).tobytes() for k in some], pa.binary())})
+
+    def count(key: tuple, table: pa.Table, filters: pa.Table) -> pa.Table:
+        grams, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if table.num_rows:
+            s = streams(table)
+            grams, n = [np.zeros(1, np.int64)], [np.array([s.distinct])]  # the first gram is null
+            bits = np.zeros((1 << (_FILTER - _ROW), 1 << _ROW), bool)
+            for k, row in zip(filters.column("k").to_pylist(), filters.column("bits").to_pylist(), strict=True):
+                bits[k] = np.unpackbits(np.frombuffer(row, np.uint8))
+            for depth in {p.run, p.edge} if bits.any() else ():
+                h, _, on = grams_of(s, depth, bits.ravel())
+                h, first = np.unique(h, return_index=True)
+                grams.append(signed(h))
+                n.append(on[first])
+        gram, n = np.concatenate(grams), np.concatenate(n)
+        host, section = (pa.array(np.full(len(n), k.as_py()), kind) for k, kind in zip(key, (pa.int64(), pa.int32()), strict=True))
+        return pa.table({"host": host, "section": section, "gram": pa.array(gram, mask=np.arange(len(n)) == 0), "n": pa.array(n)})
+
+    filters = pages.groupBy("host", "section").applyInArrow(ask, "host long, k int, bits binary").groupBy("host", "k").agg(F.bitmap_or_agg("bits").alias("bits"))
+    filters = filters.join(large, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("section"), "k", "bits")
+    own = pages.groupBy("host", "section").cogroup(filters.groupBy("host", "section")).applyInArrow(count, "host long, section int, gram long, n long")
+    total = F.sum("n").over(Window.partitionBy("host", "gram"))
+    return own.withColumn("total", total).where("gram IS NULL OR total > n").select("host", "section", "gram", "total")
 
 
 def extract(pages: DataFrame, params: HtmlParams = HtmlParams()) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages(page_id, url, html)``."""
     p = params
     bounded_batches(pages.sparkSession)
-    kind = dict(pages.dtypes)["page_id"]
-
-    def texts(table: pa.Table) -> pa.Table:
-        out = section_texts(table.column("body").to_pylist(), table.column("marks").to_pylist(), p)
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string())})
-
-    return _parsed(sections(pages, p)).groupBy("host", "section").applyInArrow(texts, f"page_id {kind}, url string, text string")
+    out = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string"
+
+    def texts(table: pa.Table, sums: tuple[np.ndarray, np.ndarray, int] | None = None) -> pa.Table:
+        found = section_texts(table.column("body").to_pylist(), table.column("marks").to_pylist(), p, sums)
+        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(found, pa.string())})
+
+    def summed(table: pa.Table, sums: pa.Table) -> pa.Table:
+        gram, total = sums.column("gram"), sums.column("total").to_numpy()
+        known = gram.is_valid().to_numpy()
+        h = gram.filter(gram.is_valid()).to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        return texts(table, (h[order], total[known][order], int(total[~known][0])))
+
+    rows, large = _hosts(pages, p)
+    work = Work(pages.sparkSession, "html")
+    large = work.table(large, "large")
+    if large.isEmpty():  # each host is one group
+        work.clear()
+        return _parsed(rows.withColumn("parts", F.lit(1))).groupBy("host", "section").applyInArrow(lambda table: texts(table), out)
+    large = _small(large, p)
+    one = _parsed(rows.join(large, "host", "left_anti").withColumn("parts", F.lit(1)))
+    several = _parsed(rows.join(large, "host"))
+    sums = _sums(several, large, p).groupBy("host", "section")
+    return one.groupBy("host", "section").applyInArrow(lambda table: texts(table), out).unionByName(several.groupBy("host", "section").cogroup(sums).applyInArrow(summed, out))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
