@@ -19,7 +19,8 @@ greater length cover is covered by these.)
   after it tokens on two pages are boilerplate, by substrings of ``edge`` tokens already, as menus are short; inside, only those on
   ``sure`` pages.
 * A page without such blocks and with ``copy_tokens`` repeated ones is a copy: its text is what has the median of its
-  tokens' counts, or less, and inside it only what more than twice as many pages hold is boilerplate.
+  tokens' counts, or less, and inside it only what more than twice as many pages hold is boilerplate.  With fewer repeated ones
+  it is a copy if ``anchor`` tokens of a block stand on less than ``sure`` pages; the median is then that of such tokens.
 * A loose block loses its boilerplate if this makes up ``block_share`` of its tokens or more; so
   a phrase stays in the prose around it.
 * A main block goes as a whole (a notice or an advert that the article does not mark) if that
@@ -398,10 +399,11 @@ def section_texts(bodies: list[str], marks: list[bytes], p: HtmlParams, sums: tu
     loose = (kind == LOOSE) & ~marked[page]
     usual = np.ones(len(streams), np.int64)  # the count of a page's own text
     anchors = per_block(loose & (count <= 1)) >= p.anchor
-    copies = (per_page(loose & (count > 1)) >= p.copy_tokens) & (np.bincount(of_page, anchors, len(streams)) == 0)
-    for i in np.flatnonzero(copies):
+    long, few = per_page(loose & (count > 1)) >= p.copy_tokens, loose & (count > 1) & (count < p.sure)
+    short = np.bincount(of_page, per_block(few) >= p.anchor, len(streams)) > 0
+    for i in np.flatnonzero((long | short) & (np.bincount(of_page, anchors, len(streams)) == 0)):
         own = slice(starts[i], starts[i + 1])
-        usual[i] = np.median(count[own][loose[own]])
+        usual[i] = np.median(count[own][(loose if long[i] else few)[own]])
     anchors = per_block(loose & (count <= usual[page])) >= p.anchor
     at = np.arange(len(zone))
     first, last = np.full(len(streams), len(zone)), np.full(len(streams), -1)
