@@ -137,3 +137,34 @@ def test_methods_on_sessions(spark):
         index = evidence.bm25_index(ev) if method == "bm25" else None
         top = {r.query_id: r.session_id for r in evidence.retriever(method)(s, ev, index, 2).where("rank = 1").collect()}
         assert (top["s0"], top["s2"], top["s1"]) == ("s2", "s0", "s3"), method
+
+
+def test_no_table_holds_the_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"s{i}", i, " ".join(["the", *rng.choices([f"w{k}" for k in range(20)], k=6), f"r{i % 90}"])) for i in range(600)]
+    queries = [(f"q{i}", rows[i][2], [f"s{i}"]) for i in range(0, 600, 10)]
+    ev = spark.createDataFrame([(f"E_{s}", s, i, t, 0) for s, i, t in rows], "evidence_id string, session_id string, doc_idx long, text string, label int")
+    qs = spark.createDataFrame(queries, "query_id string, query string, exclude array<string>")
+    counts, table = [], Work.table
+    monkeypatch.setattr(Work, "table", lambda self, df, name="t": (out := table(self, df, name), counts.append(out.count()))[0])
+    index = evidence.bm25_index(ev)
+    got = sorted((r.query_id, r.rank, r.session_id, r.score) for r in evidence.retrieve(qs, ev, index, 3, digits=6).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in bm25(rows, queries, 3, 0.0)]
+    # 60 queries share a word with each of 600 texts; a row of the index holds a text
+    assert max(counts) <= 600
+    # queries in parts, texts in blocks
+    work = Work(spark, "test")
+    terms = work.table(evidence.query_terms(qs, index))
+    parted = evidence.best_texts(qs, terms, index, work, 4, 0.0, 6, pairs=50, block=300)
+    whole = evidence.best_texts(qs, terms, index, work, 4, 0.0, 6)
+    assert sorted(map(tuple, parted.collect())) == sorted(map(tuple, whole.collect())) and parted.count() == 240
+
+
+def test_a_score_of_nothing_is_no_better_than_none(spark):
+    # a word in half of all texts weighs 0, so the first documents come first, whether they hold it or not
+    rows = [(f"s{i}", i, "half x" if i % 2 else "other y") for i in range(40)]
+    queries = [("q", "half", None), ("both", "half other", ["s0"])]
+    ev = spark.createDataFrame([(f"E_{s}", s, i, t, 0) for s, i, t in rows], "evidence_id string, session_id string, doc_idx long, text string, label int")
+    qs = spark.createDataFrame(queries, "query_id string, query string, exclude array<string>")
+    got = sorted((r.query_id, r.rank, r.session_id, r.score) for r in evidence.retrieve(qs, ev, evidence.bm25_index(ev), 4, digits=6).collect())
+    assert got == bm25(rows, queries, 4, 0.0)

@@ -9,7 +9,7 @@ from ..functions.lines import evidence_id, retrieval_tokens
 from ..functions.masking import compression_ratio, mask, mask_columns, rules_for
 from ..functions.rank import hash_rank
 from ..sources.scratch import Work
-from .bm25 import best_scores, bm25_index, bm25_scores, grown_index, query_terms, retrieve, unscored  # noqa: F401
+from .bm25 import best_scores, best_texts, bm25_index, bm25_scores, grown_index, query_terms, retrieve  # noqa: F401
 from .dense import DenseIndex, dense_index, dense_retrieve, text_vectors
 
 
