@@ -20,9 +20,11 @@ def masked_sessions(sessions: DataFrame, dataset: str = "", stats: bool = False,
     lines = sessions.select("session_id", F.posexplode("lines").alias("_i", "_line"))
     got = mask_columns(lines, "_line", rules, "_m", "_s" if stats else None)
     whole = got.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("masked"))
-    out = sessions.join(whole, "session_id", "left").withColumn("masked", F.coalesce("masked", F.array().cast("array<string>")))
+    # measured before the join, so that lines nobody asks for do not move
+    sized = sessions.withColumn("_length", F.length(F.array_join("lines", "\n")))
+    out = sized.join(whole, "session_id", "left").withColumn("masked", F.coalesce("masked", F.array().cast("array<string>")))
     joined = F.array_join("masked", "\n")
-    out = out.withColumn("original_length", F.length(F.array_join("lines", "\n"))).withColumn("normalized_length", F.length(joined))
+    out = out.withColumn("original_length", F.col("_length")).drop("_length").withColumn("normalized_length", F.length(joined))
     out = out.withColumn("masked", joined) if join else out
     out = out.withColumn("compression_ratio", compression_ratio(F.col("original_length"), F.col("normalized_length")))
     if stats:
@@ -35,12 +37,13 @@ def masked_sessions(sessions: DataFrame, dataset: str = "", stats: bool = False,
 
 def build_evidence(sessions: DataFrame, dataset: str = "", stats: bool = False) -> DataFrame:
     """Masked train sessions; ``doc_idx`` is the order of the hashes of session ids."""
-    train = masked_sessions(sessions.where("split = 'train'"), dataset, stats)
-    # a corpus position for each row: counts of hash ranges, then ranks inside them
-    placed = hash_rank(train.withColumn("_all", F.lit(1)), ["_all"], "session_id", "corpus", "doc_idx").drop("_all")
+    train = sessions.where("split = 'train'").withColumn("num_lines", F.size("lines"))
+    # a corpus position for each id: counts of hash ranges, then ranks inside them; texts do not move for it
+    ids = hash_rank(train.select("session_id", F.lit(1).alias("_all")), ["_all"], "session_id", "corpus", "doc_idx").drop("_all")
+    placed = masked_sessions(train, dataset, stats).join(ids, "session_id")
     return placed.select(
         evidence_id(F.col("session_id")).alias("evidence_id"), "session_id", "doc_idx", F.col("masked").alias("text"), "label", F.lit(dataset).alias("dataset"),
-        F.size("lines").alias("num_lines"), "original_length", "normalized_length", *(["param_stats"] if stats else []),
+        "num_lines", "original_length", "normalized_length", *(["param_stats"] if stats else []),
     )
 
 
