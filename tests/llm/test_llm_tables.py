@@ -104,6 +104,15 @@ def test_least_hashes_meet():
             assert x & y
 
 
+def test_sets_that_share_nothing_share_no_bucket(spark):
+    # 40 shingles fill about one bucket of each band: registers of twelve bits would often be equal by chance
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(f"{rng.random():.12f}" for _ in range(44))) for i in range(3000)], "doc_id long, text string")
+    p = minhash.NearParams()
+    bucketed = minhash.bands(minhash.sketches(df, p).withColumnRenamed("doc_id", "id"), p)
+    assert bucketed.count() > 60_000 and bucketed.groupBy("bucket").count().where("count > 1").count() == 0
+
+
 def test_work_tables_are_deleted(spark):
     import glob
 

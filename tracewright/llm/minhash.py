@@ -6,10 +6,11 @@ if the sets' Jaccard similarity is 0.75 or more, and a component is what links c
 
 1. One pass makes for each document the size and a 128-bit digest of its set and a HyperMinHash
    sketch: of the least hash in each of 256 buckets, the count of leading zeros and ten mantissa
-   bits, 512 bytes in all whatever the text's length.
+   bits, 512 bytes in all whatever the text's length; and a key of 32 bits for each band.
 2. Documents of one digest are copies; from here on only the least id of each such class counts.
-3. Five registers each make 52 bands (the last shares four registers with the one before it, so
-   that all 256 are in a band).  Of large sets a pair at the threshold shares no band with a chance
+3. Five buckets each make 52 bands (the last shares four with the one before it, so
+   that all 256 are in a band).  A band's key is of the whole least hashes, not of the registers: most bands of a set of few
+   shingles hold one of them, and registers of about twelve bits would bring together sets that share nothing, the more the more documents there are.  Of large sets a pair at the threshold shares no band with a chance
    of (1 - 0.75^5)^51, about 1e-6, and a pair above it with less.  Sets of few shingles leave most
    registers empty, and two sets could differ in just the bands that they fill; so sets of up to
    ``exact`` shingles, and those that can be linked with one, also have a bucket for each of their
@@ -53,6 +54,7 @@ _U = np.uint64
 REGISTERS = 256
 MANTISSA = 10
 EMPTY = 0xFFFF
+NONE = 1 << 52
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ class NearParams:
     exact: int = 32
 
 
-SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("least", T.BinaryType())]
+SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("least", T.BinaryType())]
 
 
 def shingle_sets(part: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +105,39 @@ def _span_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return c[bounds[1:]] - c[bounds[:-1]]
 
 
-def registers(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of 16-bit registers for each document: leading zeros, then mantissa bits."""
+def minima(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row for each document: the least of the upper 52 bits in each bucket; 1 << 52 in an empty one."""
     n = len(bounds) - 1
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    least = np.full(n * REGISTERS, 1 << 52, np.int64)
+    least = np.full(n * REGISTERS, NONE, np.int64)
     np.minimum.at(least, owner * REGISTERS + (g & _U(REGISTERS - 1)).astype(np.int64), (g >> _U(12)).astype(np.int64))
+    return least.reshape(n, REGISTERS)
+
+
+def registers(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row of 16-bit registers for each document: leading zeros, then mantissa bits."""
+    return _short(minima(g, bounds))
+
+
+def _short(least: np.ndarray) -> np.ndarray:
     m, e = np.frexp(least.astype(np.float64))
     cell = np.clip((m * 2 - 1) * (1 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.int64)
-    return np.where(least == 1 << 52, EMPTY, ((52 - e) << MANTISSA) | cell).astype(np.uint16).reshape(n, REGISTERS)
+    return np.where(least == NONE, EMPTY, ((52 - e) << MANTISSA) | cell).astype(np.uint16)
+
+
+def _starts(p: NearParams) -> np.ndarray:
+    return np.unique([*range(0, REGISTERS - p.band_rows + 1, p.band_rows), REGISTERS - p.band_rows])
+
+
+def band_keys(least: np.ndarray, p: NearParams) -> np.ndarray:
+    """One row of 32-bit keys for each document, 0 for a band without a hash."""
+    starts = _starts(p)
+    key, full = np.zeros((len(least), len(starts)), np.uint64), np.zeros((len(least), len(starts)), bool)
+    for i in range(p.band_rows):
+        x = least[:, starts + i]
+        key = mix(key + x.astype(np.uint64) + _U(1))
+        full |= x != NONE
+    return np.where(full, np.maximum(key >> _U(32), _U(1)), _U(0)).astype(np.uint32)
 
 
 def least_hashes(g: np.ndarray, bounds: np.ndarray, p: NearParams) -> list[bytes]:
@@ -124,15 +150,16 @@ def least_hashes(g: np.ndarray, bounds: np.ndarray, p: NearParams) -> list[bytes
 
 def sketches(documents: DataFrame, p: NearParams) -> DataFrame:
     def batch(texts: pa.Array) -> list:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for s in text_slices(texts):
             g, b = shingle_sets(s, p.words)
-            regs = registers(g, b)
+            low = minima(g, b)
             out[0].append(np.diff(b))
             out[1].append(signed(_span_sums(mix(g ^ _U(0xA5A5A5A5A5A5A5A5)), b)))
             out[2].append(signed(_span_sums(mix(g ^ _U(0x5BD1E9955BD1E995)), b)))
-            out[3] += [r.tobytes() for r in regs]
-            out[4] += least_hashes(g, b, p)
+            out[3] += [r.tobytes() for r in _short(low)]
+            out[4] += [k.tobytes() for k in band_keys(low, p)]
+            out[5] += least_hashes(g, b, p)
         return [*(np.concatenate(x) if x else [] for x in out[:3]), *out[3:]]
 
     return append_columns(documents, "text", SKETCH, lambda: batch, drop_text=True)
@@ -143,27 +170,23 @@ def _regs(col: pa.Array) -> np.ndarray:
 
 
 def bands(sketched: DataFrame, p: NearParams) -> DataFrame:
-    """``(bucket, id)``: a row for each band that has a register, and for each least hash of small sets."""
-    r = p.band_rows
-    starts = np.unique([*range(0, REGISTERS - r + 1, r), REGISTERS - r])
-    n_bands = len(starts)
+    """``(bucket, id)``: a row for each band that has a hash, and for each least hash of small sets."""
+    n_bands = len(_starts(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                x = _regs(b.column("regs"))[:, starts[:, None] + np.arange(r)]
-                key = np.zeros(x.shape[:2], np.uint64) + np.arange(n_bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
-                for i in range(r):
-                    key = mix(key + x[:, :, i].astype(np.uint64) + _U(1))
-                full = (x != EMPTY).any(2)
+                key = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint32).reshape(len(b), n_bands)
+                full = key > 0
+                bucket = mix(key.astype(np.uint64) + np.arange(n_bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
                 least = b.column("least").to_pylist()
                 own = b.column("id").to_numpy(zero_copy_only=False)
-                keys = np.concatenate([key[full], mix(np.frombuffer(b"".join(least), np.uint64) + _U(n_bands))])
+                keys = np.concatenate([bucket[full], mix(np.frombuffer(b"".join(least), np.uint64) + _U(n_bands))])
                 ids = np.concatenate([np.repeat(own, full.sum(1)), np.repeat(own, [len(x) // 8 for x in least])])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(ids)], names=["bucket", "id"])
 
-    return sketched.select("id", "regs", "least").mapInArrow(run, "bucket long, id long")
+    return sketched.select("id", "keys", "least").mapInArrow(run, "bucket long, id long")
 
 
 def estimated_jaccard(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +407,7 @@ def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) ->
     rows = work.table(sketches(documents, p), "sketch")
     copies = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = work.table(copies, "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "regs", "least")
+    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "regs", "keys", "least")
     sketch = work.table(reps, "reps")
     slim = work.table(rows.select("doc_id", "n_shingles", "d1", "d2"), "slim")
     work.drop(rows)
