@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import registry
 from tracewright.operators import evidence, explain, scoring, sequences, sessions, splits
 from tracewright.plans import explain_all
+from tracewright.sources.scratch import Work
 
 NORMAL, BAD = "connection opened by client closed again heartbeat ok".split(), "panic fault overflow corrupt".split()
 
@@ -48,6 +50,31 @@ def test_sweep(fitted):
     assert set(got) == {2048, 4096} and got[4096] == (1.0, 1.0)
 
 
+def test_fits_keep_one_set_of_counts_and_no_frames(spark, monkeypatch):
+    s = labelled(spark)
+    parts = [splits.in_split(s, p) for p in ("train", "val", "test")]
+
+    def kept(*_):
+        raise AssertionError("sessions are kept in executors")
+
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(type(s), name, kept)
+    live, most, table, delete = set(), [0], Work.table, Work._delete
+    monkeypatch.setattr(Work, "table", lambda self, df, name="t": (out := table(self, df, name), live.add(out._work_path), most.append(sum("/fit-" in p for p in live)))[0])
+    monkeypatch.setattr(Work, "_delete", lambda self, path: (live.discard(path), delete(self, path))[1])
+    assert scoring.sweep(*parts, [1024, 2048, 4096]).count() == 3
+    assert max(most) == 2 and not any("/fit-" in p for p in live)  # of the fit that runs: train and val
+
+
+def test_parts_are_those_of_whole_sessions(spark):
+    d = "/root/testdata/sf0.001"
+    whole = splits.stratified_split(sessions.with_labels(registry.document_sessions(spark, d), registry.quality_labels(spark, d)).withColumnRenamed("block_id", "session_id"))
+    train, val, test = registry.labelled_parts(spark, d)
+    want = {(r.session_id, r.label, r.split, r.n) for r in whole.selectExpr("session_id", "label", "split", "size(lines) AS n").collect()}
+    got = {(r.session_id, r.label, r.split, r.n) for p in (train, val, test) for r in p.selectExpr("session_id", "label", "split", "size(lines) AS n").collect()}
+    assert got == want
+
+
 def test_retriever_names():
     assert evidence.retriever() is evidence.batch_retrieve
     assert evidence.retriever("dense") is evidence.dense_batch_retrieve
